@@ -1,9 +1,13 @@
 """Money arithmetic and money text.
 
-Sums: costs are doubles at rest but hold whole cents, so they are summed as
-``decimal(18, 2)`` (exact, independent of row order across partitions) and
-the total is cast to double once.  Means are that double total divided by the
-row count.
+Sums: costs are doubles at rest but hold whole cents.  Inside aggregations a
+cost becomes an integer count of cents (``rint(cost * 100)``, exact for
+whole-cent values), so sums are exact long additions, independent of row
+order across partitions, and stay in generated code (no per-row decimal
+objects).  A total becomes money again once, as ``cents / 100.0``; this is
+bit-for-bit the double of the exact ``decimal(18, 2)`` total.  Means are that
+double over the row count.  Long overflow raises an error under ANSI mode
+rather than wrapping.
 
 Text: the report shows ``"%.2f"`` as Python prints it, i.e. the exact binary
 value of the double rounded half-to-even.  Spark's ``format_string`` rounds the
@@ -18,32 +22,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
-
-MONEY = DecimalType(18, 2)
-MONEY_WIDE = DecimalType(38, 2)
 
 _TWO_52 = float(2**52)
 _TWO_M8 = 2.0**-8  # below this |x| < 0.005 and prints as 0.00
 
 
-def money(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast(MONEY)
+def _c(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def cents(c: Column | str) -> Column:
+    """Whole cents of a money value as a long."""
+    return F.rint(_c(c).cast("double") * 100.0).cast("long")
 
 
 def money_sum(c: Column | str) -> Column:
-    """Exact ``SUM`` of a money column (``decimal(28, 2)``)."""
-    return F.sum(money(c))
+    """Exact ``SUM`` of a money column, in cents (long)."""
+    return F.sum(cents(c))
 
 
-def to_double(c: Column) -> Column:
-    return c.cast("double")
+def to_money(cents_col: Column | str) -> Column:
+    """Cents back to a money double."""
+    return _c(cents_col).cast("double") / F.lit(100.0)
 
 
-def mean(total: Column, count: Column) -> Column:
-    """``AVG`` as double total over the row count (NULL when no rows)."""
-    return to_double(total) / F.nullif(count, F.lit(0)).cast("double")
+def mean(total_cents: Column, count: Column) -> Column:
+    """``AVG`` as money total over the row count (NULL when no rows)."""
+    return to_money(total_cents) / F.nullif(count, F.lit(0)).cast("double")
 
 
 def _cents_half_even(a: Column) -> Column:
@@ -65,7 +70,7 @@ def _cents_half_even(a: Column) -> Column:
 
 def fixed2(c: Column | str) -> Column:
     """``"%.2f" % x`` exactly as Python prints it (NULL stays NULL)."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    x = _c(c).cast("double")
     a = F.abs(x)
     cents = (
         F.when(a < F.lit(_TWO_M8), F.lit(0).cast("long"))
@@ -81,11 +86,11 @@ def fixed2(c: Column | str) -> Column:
 
 def money_text(c: Column | str) -> Column:
     """``"$%.2f" % (x or 0)``."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    x = _c(c).cast("double")
     return F.concat(F.lit("$"), fixed2(F.coalesce(x, F.lit(0.0))))
 
 
 def ratio_text(c: Column | str) -> Column:
     """``"%.2f" % (x or 0)``."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    x = _c(c).cast("double")
     return fixed2(F.coalesce(x, F.lit(0.0)))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.money import MONEY_WIDE, money_sum
+from innsight.functions.money import money_sum
 
 
 def charge_totals(charge: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def revenue_per_reservation(
     charge_type_id: int | None = None,
     totals: DataFrame | None = None,
 ) -> DataFrame:
-    """``reservationId, revenue (decimal), n_charges`` over charges, optionally
+    """``reservationId, revenue (cents), n_charges`` over charges, optionally
     of one type; from the shared ``totals`` when given."""
     if totals is not None:
         src = totals
@@ -81,5 +81,5 @@ def room_hotels(t: dict[str, DataFrame], hotels: DataFrame | None = None) -> Dat
 
 
 def weighted(revenue: str, k: str) -> F.Column:
-    """``revenue * k`` in a decimal wide enough for any realistic total."""
-    return (F.col(revenue) * F.col(k)).cast(MONEY_WIDE)
+    """``revenue * k``: cents times the fan-out of the reservation."""
+    return F.col(revenue) * F.col(k)

@@ -8,7 +8,7 @@ Each query has two forms with the same result:
 * ``literal=True``: the join chain exactly as the reference writes it, kept
   for equality tests and for timing the difference.
 
-Money is summed as decimal and returned as double; means are total / rows.
+Money is summed as integer cents and returned as double; means are total / rows.
 Every sort gets the group key as a last tie-breaker.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.money import mean, money_sum, to_double
+from innsight.functions.money import mean, money_sum, to_money
 from innsight.functions.timeparts import month_int, month_text, year_int, year_text
 from innsight.operators.preagg import (
     existing_reservations,
@@ -34,7 +34,7 @@ def _monthly(t: dict[str, DataFrame], year_col, month_col) -> DataFrame:
     return (
         c.groupBy(year_col(F.col("dateTime")).alias("revenue_year"),
                   month_col(F.col("dateTime")).alias("revenue_month"))
-        .agg(to_double(money_sum("cost")).alias("total_revenue"))
+        .agg(to_money(money_sum("cost")).alias("total_revenue"))
         .orderBy(F.asc_nulls_first("revenue_year"), F.asc_nulls_first("revenue_month"))
     )
 
@@ -83,7 +83,7 @@ def revenue_by_hotel(t: dict[str, DataFrame], literal: bool = False, totals: Dat
             .join(hotel, "hotelId")
         )
     return per_hotel.select(
-        "hotelId", "hotel_name", to_double(F.col("rev")).alias("total_revenue"), "num_reservations"
+        "hotelId", "hotel_name", to_money(F.col("rev")).alias("total_revenue"), "num_reservations"
     ).orderBy(F.desc("total_revenue"), F.asc("hotelId"))
 
 
@@ -110,7 +110,7 @@ def top_customers(t: dict[str, DataFrame], n: int = 10, literal: bool = False,
         )
     return (
         per_party.select("partyId", "firstName", "lastName",
-                         to_double(F.col("rev")).alias("total_revenue"), "num_reservations")
+                         to_money(F.col("rev")).alias("total_revenue"), "num_reservations")
         .orderBy(F.desc("total_revenue"), F.asc("partyId"))
         .limit(n)
     )
@@ -133,7 +133,7 @@ def revenue_by_charge_type(t: dict[str, DataFrame], totals: DataFrame | None = N
         per_type.join(t["charge_type"].select("chargeTypeId", F.col("name").alias("charge_type")), "chargeTypeId")
         .select(
             "chargeTypeId", "charge_type",
-            to_double(F.col("rev")).alias("total_revenue"),
+            to_money(F.col("rev")).alias("total_revenue"),
             F.col("n").cast("long").alias("num_charges"),
             mean(F.col("rev"), F.col("n")).alias("avg_charge_amount"),
         )
@@ -181,7 +181,7 @@ def room_type_performance(t: dict[str, DataFrame], charge_type_id: int = ROOM_NI
         per_type.select(
             "roomTypeId", "room_type",
             F.col("num_stays").cast("long").alias("num_stays"),
-            to_double(F.col("rev")).alias("total_revenue"),
+            to_money(F.col("rev")).alias("total_revenue"),
             mean(F.col("rev"), F.col("n")).alias("avg_revenue_per_stay"),
         )
         .orderBy(F.desc("total_revenue"), F.asc("roomTypeId"))
@@ -221,7 +221,7 @@ def value_by_score(t: dict[str, DataFrame], literal: bool = False, totals: DataF
     return (
         per_score.select(
             "qualification_score", "num_customers",
-            to_double(F.col("rev")).alias("total_revenue"),
+            to_money(F.col("rev")).alias("total_revenue"),
             mean(F.col("rev"), F.col("n")).alias("avg_revenue_per_customer"),
         )
         .orderBy(F.desc("qualification_score"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.money import money_sum, to_double
+from innsight.functions.money import money_sum, to_money
 from innsight.functions.text import contains_ci, full_name, name_matches
 from innsight.functions.timeparts import year_month_text
 from innsight.operators.operations import search_staff
@@ -63,7 +63,7 @@ def search_guest(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
         )
     return (
         out.select("reservationId", "customer_name", "email", "check_in", "check_out",
-                   to_double(F.col("rev")).alias("total_revenue"))
+                   to_money(F.col("rev")).alias("total_revenue"))
         .orderBy(F.desc_nulls_last("check_in"), F.asc("reservationId"))
     )
 
@@ -108,7 +108,7 @@ def search_hotel(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
             .agg(F.sum(weighted("revenue", "k")).alias("rev"))
         )
     return (
-        out.select("hotel_name", "year_month", to_double(F.col("rev")).alias("total_revenue"))
+        out.select("hotel_name", "year_month", to_money(F.col("rev")).alias("total_revenue"))
         .orderBy(F.asc_nulls_first("year_month"), F.asc("hotel_name"))
     )
 

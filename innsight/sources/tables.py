@@ -23,12 +23,14 @@ def _conform(df: DataFrame, table: str) -> list[Column]:
     """Select the declared columns by name, in declared order, cast to the
     declared type; fill an absent column with its declared default (or a typed
     NULL).  An explicit NULL that is present stays NULL (B1 reports it)."""
-    present = {c.lower(): c for c in df.columns}
+    fields = {f.name.lower(): f for f in df.schema.fields}
     out = []
     for c in TABLES[table]:
-        src = present.get(c.name.lower())
-        if src is not None:
-            out.append(F.col(src).cast(c.dtype).alias(c.name))
+        f = fields.get(c.name.lower())
+        if f is not None and f.name == c.name and f.dataType == c.dtype:
+            out.append(F.col(f.name))
+        elif f is not None:
+            out.append(F.col(f.name).cast(c.dtype).alias(c.name))
         else:
             out.append(F.lit(c.default).cast(c.dtype).alias(c.name))
     return out
@@ -36,6 +38,10 @@ def _conform(df: DataFrame, table: str) -> list[Column]:
 
 def apply_defaults(df: DataFrame, table: str) -> DataFrame:
     """Give ``df`` the declared shape of ``table`` (A4)."""
+    have = [(f.name, f.dataType) for f in df.schema.fields]
+    want = [(c.name, c.dtype) for c in TABLES[table]]
+    if have == want:
+        return df
     return df.select(*_conform(df, table))
 
 

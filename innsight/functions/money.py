@@ -80,7 +80,9 @@ def fixed2(c: Column | str) -> Column:
     # Beyond 2**52 every double is an integer: plain formatting is exact.
     big = F.format_string("%.2f", a)
     body = F.when(a < F.lit(_TWO_52), text).otherwise(big)
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    # x < 0, or x is -0.0 (its text form keeps the sign): Python prints "-0.00"
+    negative = F.when(x == 0, x.cast("string").startswith("-")).otherwise(x < 0)
+    sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
     return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, body))
 
 

@@ -1,7 +1,7 @@
 """Declared data model: 28 typed tables, their keys, foreign keys and defaults.
 
 Integers are 64-bit (``LongType``); 0/1 flags stay longs.  Money columns are
-``DoubleType`` at rest and are summed as ``DecimalType(18, 2)``
+``DoubleType`` at rest holding whole cents and are summed as integer cents
 (see :mod:`innsight.functions.money`).  Date-times are ``TimestampNTZType``;
 ``charge.time`` is free text that is never filled and stays a string.
 """
@@ -153,8 +153,14 @@ FOREIGN_KEYS: tuple[tuple[str, str, str, str], ...] = (
 
 
 def schema(table: str) -> StructType:
-    """Declared ``StructType`` of one table (never inferred)."""
-    return StructType([StructField(c.name, c.dtype, c.nullable) for c in TABLES[table]])
+    """Declared ``StructType`` of one table (never inferred).
+
+    Every field is nullable to Spark: its nullability flag is a promise the
+    optimizer acts on (it may drop NULL checks), while an unparsable date or a
+    bad row can still bring a NULL in.  The declared NOT NULL constraints are
+    kept in :data:`TABLES` and checked as data (B1).
+    """
+    return StructType([StructField(c.name, c.dtype, True) for c in TABLES[table]])
 
 
 def schemas() -> dict[str, StructType]:

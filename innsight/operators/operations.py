@@ -50,8 +50,9 @@ def occupancy_by_hotel(t: dict[str, DataFrame], start: str = WINDOW_START, end:
         )
     else:
         # stays per room (map-side partial counts absorb a hot room), then one
-        # row per room on both sides of the outer join.
-        per_room = stays.groupBy("roomId").agg(F.count("stayId").alias("k"))
+        # row per room on both sides of the outer join.  stayId is the key
+        # (unique, not NULL), so counting rows counts distinct stays.
+        per_room = stays.groupBy("roomId").agg(F.count(F.lit(1)).alias("k"))
         per_hotel = (
             rooms.join(per_room, "roomId", "left")
             .groupBy("hotelId", "hotel_name")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.money import money_sum, to_money
+from innsight.functions.money import cents, money_sum, to_money
 from innsight.functions.text import contains_ci, full_name, name_matches
 from innsight.functions.timeparts import year_month_text
 from innsight.operators.operations import search_staff
@@ -90,19 +90,22 @@ def search_hotel(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
             .agg(money_sum("cost").alias("rev"))
         )
     else:
+        # k = stays of each reservation in hotels of each matching name; one
+        # row per (reservation, name), checked against existing reservations
+        # on this (small) side.  Charges then join it once: a selective term
+        # leaves it small enough to broadcast, so charges are filtered where
+        # they are read and only matching ones reach the aggregation shuffle.
         hs = (
             t["stay"].select("reservationId", "roomId")
             .join(room_hotels(t, hotels), "roomId")
             .groupBy("reservationId", "hotel_name")
             .agg(F.count(F.lit(1)).alias("k"))
-        )
-        rc = (
-            t["charge"].join(hs.select("reservationId"), "reservationId", "left_semi")
-            .groupBy("reservationId", year_month_text(F.col("dateTime")).alias("year_month"))
-            .agg(money_sum("cost").alias("revenue"))
+            .join(existing_reservations(t), "reservationId")
         )
         out = (
-            rc.join(existing_reservations(t), "reservationId")
+            t["charge"]
+            .select("reservationId", year_month_text(F.col("dateTime")).alias("year_month"),
+                    cents("cost").alias("revenue"))
             .join(hs, "reservationId")
             .groupBy("hotel_name", "year_month")
             .agg(F.sum(weighted("revenue", "k")).alias("rev"))

@@ -45,6 +45,37 @@ def apply_defaults(df: DataFrame, table: str) -> DataFrame:
     return df.select(*_conform(df, table))
 
 
+def text_schema(table: str, columns: list[str] | None = None):
+    """Declared columns (or the given subset, in file order) as text: how raw
+    CSV is read, with no inference.  CSV columns bind by position."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    names = columns or [c.name for c in TABLES[table]]
+    return StructType([StructField(n, StringType(), True) for n in names])
+
+
+def from_text(raw: DataFrame, table: str) -> DataFrame:
+    """Cast text columns of ``raw`` to the declared types of ``table``.
+
+    Unparsable numbers and timestamps become NULL instead of failing the job
+    (B1 then reports them); columns missing from ``raw`` are left out, so
+    :func:`apply_defaults` can fill them.
+    """
+    cols = []
+    for c in TABLES[table]:
+        match = next((x for x in raw.columns if x.lower() == c.name.lower()), None)
+        if match is None:
+            continue
+        if c.dtype.typeName() == "timestamp_ntz":
+            cols.append(F.try_to_timestamp(F.col(match), F.lit("yyyy-MM-dd HH:mm:ss"))
+                        .cast(c.dtype).alias(c.name))
+        elif c.dtype.typeName() == "string":
+            cols.append(F.col(match).alias(c.name))
+        else:
+            cols.append(F.expr(f"try_cast(`{match}` AS {c.dtype.simpleString()})").alias(c.name))
+    return raw.select(*cols)
+
+
 def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
     """Read raw rows of ``table`` from CSV (with header) or Parquet files.
 
@@ -53,22 +84,10 @@ def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -
     """
     if fmt == "csv":
         raw = spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(path)
-        cols = []
-        for c in TABLES[table]:
-            match = next((x for x in raw.columns if x.lower() == c.name.lower()), None)
-            if match is None:
-                continue
-            if c.dtype.typeName() == "timestamp_ntz":
-                cols.append(F.try_to_timestamp(F.col(match), F.lit("yyyy-MM-dd HH:mm:ss"))
-                            .cast(c.dtype).alias(c.name))
-            else:
-                cols.append(F.expr(f"try_cast(`{match}` AS {c.dtype.simpleString()})").alias(c.name))
-        raw = raw.select(*cols)
-    elif fmt == "parquet":
-        raw = spark.read.parquet(path)
-    else:
-        raise ValueError(f"unsupported format {fmt!r}")
-    return raw
+        return from_text(raw, table)
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"unsupported format {fmt!r}")
 
 
 def ingest(df: DataFrame, table: str) -> DataFrame:

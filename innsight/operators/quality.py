@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, not_null_columns
@@ -73,11 +73,15 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
 
 def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str,
                  names: tuple[str, str, str, str]) -> DataFrame:
+    """One-row summary of :func:`orphans`.  Rows are counted per reference
+    value first (map-side partial counts collapse a value held by many rows),
+    so the anti join sees each distinct value once."""
     c, f, p, k = names
-    return orphans(child.select(fk), fk, parent, pk).agg(F.count(F.lit(1)).alias("orphan_rows")).select(
+    per_value = child.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
+    return orphans(per_value, fk, parent, pk).agg(F.sum("n").alias("orphan_rows")).select(
         F.lit(c).alias("child_table"), F.lit(f).alias("fk_column"),
         F.lit(p).alias("parent_table"), F.lit(k).alias("pk_column"),
-        F.col("orphan_rows").cast("long"),
+        F.coalesce(F.col("orphan_rows"), F.lit(0)).cast("long").alias("orphan_rows"),
     )
 
 
@@ -106,7 +110,3 @@ def orphan_report(t: dict[str, DataFrame]) -> DataFrame:
     ]
     return _union_all(frames)
 
-
-def is_clean(report: DataFrame, count_col: str) -> Column:
-    """Predicate for rows of a report that show a violation."""
-    return F.col(count_col) > 0

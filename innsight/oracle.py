@@ -57,7 +57,7 @@ room AS (
          CAST(p_partkey AS VARCHAR) AS roomNumber,
          CAST(p_retailprice AS DOUBLE) AS baseDailyRate,
          CAST(p_size % 5 + 1 AS BIGINT) AS maxOccupancy
-  FROM part JOIN room_type rt ON rt.name = part.p_type),
+  FROM part LEFT JOIN room_type rt ON rt.name = part.p_type),
 party AS (
   SELECT CAST(c_custkey AS BIGINT) AS partyId, c_mktsegment AS firstName, c_name AS lastName,
          CAST(NULL AS VARCHAR) AS phone,

@@ -145,7 +145,9 @@ class HotelTables(Mapping):
         pk = F.col("p_partkey")
         wing_of_room = pk % self._count("supplier")
         return (
-            self.src("part").join(self["room_type"].withColumnRenamed("name", "p_type"), "p_type")
+            # a left join on a key unique on the right: Catalyst removes it
+            # from every query that does not use roomTypeId
+            self.src("part").join(self["room_type"].withColumnRenamed("name", "p_type"), "p_type", "left")
             .select(
                 pk.alias("roomId"),
                 wing_of_room.alias("wingId"),

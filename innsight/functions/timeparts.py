@@ -16,29 +16,53 @@ def month_int(c: Column) -> Column:
     return F.month(c).cast("int")
 
 
+# Text parts are built from the calendar fields of the zone-free value, not
+# with date_format: that would convert a timestamp_ntz through the session
+# time zone and back, which shifts wall-clock times inside DST gaps of a
+# non-UTC session.
+
+
 def year_text(c: Column) -> Column:
-    """``'2025'``."""
-    return F.date_format(c, "yyyy")
+    """``'2025'`` (four digits, zero-padded)."""
+    return F.lpad(F.year(c).cast("string"), 4, "0")
 
 
 def month_text(c: Column) -> Column:
     """Zero-padded ``'01'`` .. ``'12'``."""
-    return F.date_format(c, "MM")
+    return F.lpad(F.month(c).cast("string"), 2, "0")
 
 
 def year_month_text(c: Column) -> Column:
     """``'2025-01'``."""
-    return F.date_format(c, "yyyy-MM")
+    return F.concat(year_text(c), F.lit("-"), month_text(c))
 
 
 def datetime_text(c: Column) -> Column:
-    """``'2025-01-16 15:00:00'``."""
-    return F.date_format(c, DATETIME_FORMAT)
+    """``'2025-01-16 15:00:00'`` (fractions of a second dropped)."""
+    return F.substring(c.cast("timestamp_ntz").cast("string"), 1, 19)
+
+
+# 'YYYY-MM-DD', optionally followed by ' HH:MM:SS[.ffffff]' (or 'T' instead
+# of the space), the shapes SQLite's date functions accept.
+_DATETIME_RX = r"^(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{2}):(\d{2}):(\d{2}(?:\.\d{1,6})?))?$"
 
 
 def parse_datetime(c: Column) -> Column:
-    """Text to ``timestamp_ntz``; unparsable text gives NULL, never an error."""
-    return F.try_to_timestamp(c, F.lit(DATETIME_FORMAT)).cast("timestamp_ntz")
+    """Text to ``timestamp_ntz``; unparsable text or an impossible date gives
+    NULL, never an error.  Built from the fields, so no time zone is involved
+    (parsing to a zoned timestamp and casting back would move wall-clock
+    times that fall in a DST gap of the session zone)."""
+    text = F.trim(c.cast("string"))
+
+    def part(i: int, typ: str = "int") -> Column:
+        return F.nullif(F.regexp_extract(text, _DATETIME_RX, i), F.lit("")).try_cast(typ)
+
+    ts = F.try_make_timestamp_ntz(
+        part(1), part(2), part(3),
+        F.coalesce(part(4), F.lit(0)), F.coalesce(part(5), F.lit(0)),
+        F.coalesce(part(6, "decimal(8,6)"), F.lit(0).cast("decimal(8,6)")),
+    )
+    return F.when(text.rlike(_DATETIME_RX), ts)
 
 
 def ts_literal(value: str) -> Column:

@@ -10,6 +10,8 @@ lost executor re-reads finished files instead of re-running the charge scan.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from innsight.operators.operations import WINDOW_END, WINDOW_START, occupancy_by_hotel, staff_workload
@@ -61,6 +63,7 @@ def refresh_dashboard(
     t: dict[str, DataFrame],
     out_dir: str,
     stage_dir: str | None = None,
+    parallelism: int = 4,
     **kwargs,
 ) -> dict[str, str]:
     """Write each dashboard result to ``out_dir/<key>`` as Parquet.
@@ -72,11 +75,18 @@ def refresh_dashboard(
     stage = stage_dir or f"{staging_dir(spark)}/dashboard_stage"
     charge_totals(t["charge"]).write.mode("overwrite").parquet(f"{stage}/charge_totals")
     totals = spark.read.parquet(f"{stage}/charge_totals")
-    paths = {}
-    for key, df in dashboard(t, totals=totals, **kwargs).items():
-        path = f"{out_dir.rstrip('/')}/{key}"
+    results = dashboard(t, totals=totals, **kwargs)
+    paths = {key: f"{out_dir.rstrip('/')}/{key}" for key in results}
+
+    def write(key: str) -> None:
         # no coalesce(1): the staff result grows with the data; AQE already
         # merges the small post-shuffle partitions of the bounded results.
-        df.write.mode("overwrite").parquet(path)
-        paths[key] = path
+        results[key].write.mode("overwrite").parquet(paths[key])
+
+    # The eight results are independent jobs over the same inputs: submit them
+    # together so the scheduler can fill the executors (each write still runs
+    # as ordinary distributed stages; only job submission is concurrent).
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        for f in [pool.submit(write, key) for key in results]:
+            f.result()
     return paths

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from innsight.functions.timeparts import parse_datetime
 from innsight.sources.schemas import TABLES, schema
 
 
@@ -67,8 +68,7 @@ def from_text(raw: DataFrame, table: str) -> DataFrame:
         if match is None:
             continue
         if c.dtype.typeName() == "timestamp_ntz":
-            cols.append(F.try_to_timestamp(F.col(match), F.lit("yyyy-MM-dd HH:mm:ss"))
-                        .cast(c.dtype).alias(c.name))
+            cols.append(parse_datetime(F.col(match)).alias(c.name))
         elif c.dtype.typeName() == "string":
             cols.append(F.col(match).alias(c.name))
         else:

@@ -77,3 +77,20 @@ def test_month_parts_and_parse(spark):
     assert out[0].ts == dt.datetime(2025, 1, 16, 15) and (out[0].y, out[0].m, out[0].ym) == ("2025", "01", "2025-01")
     assert out[1].ts is None and out[1].y is None
     assert (out[2].y, out[2].m) == ("0999", "12")
+
+
+def test_time_text_is_zone_free(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        from pyspark.sql import functions as F
+
+        from innsight.functions.timeparts import datetime_text
+
+        df = spark.createDataFrame([("2025-03-09 02:30:00",), ("2024-12-31 23:59:59",)], "s string")
+        ts = F.col("ts")
+        out = df.select(parse_datetime(df.s).alias("ts")).select(
+            datetime_text(ts).alias("txt"), year_month_text(ts).alias("ym")).collect()
+        assert [(r.txt, r.ym) for r in out] == [("2025-03-09 02:30:00", "2025-03"), ("2024-12-31 23:59:59", "2024-12")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

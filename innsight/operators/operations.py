@@ -66,7 +66,7 @@ def occupancy_by_hotel(t: dict[str, DataFrame], start: str = WINDOW_START, end:
             F.col("total_rooms").cast("long").alias("total_rooms"),
             (F.col("num_stays").cast("double") / F.col("total_rooms").cast("double")).alias("stays_per_room_ratio"),
         )
-        .orderBy(F.desc("stays_per_room_ratio"), F.asc("hotelId"))
+        .orderBy(F.desc_nulls_last("stays_per_room_ratio"), F.asc_nulls_first("hotelId"))
     )
 
 
@@ -112,7 +112,7 @@ def staff_workload(t: dict[str, DataFrame], literal: bool = False) -> DataFrame:
         .select("staffId", "firstName", "lastName", "occupation",
                 F.col("num_tasks").cast("long").alias("num_tasks"),
                 F.col("num_events_supported").cast("long").alias("num_events_supported"))
-        .orderBy(F.desc("num_tasks"), F.desc("num_events_supported"), F.asc("staffId"))
+        .orderBy(F.desc_nulls_last("num_tasks"), F.desc_nulls_last("num_events_supported"), F.asc_nulls_first("staffId"))
     )
 
 
@@ -129,5 +129,5 @@ def search_staff(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
         .select("staffId", "staff_name", "occupation",
                 F.col("num_tasks").cast("long").alias("num_tasks"),
                 F.col("num_events_supported").cast("long").alias("num_events_supported"))
-        .orderBy(F.desc("num_tasks"), F.desc("num_events_supported"), F.asc("staffId"))
+        .orderBy(F.desc_nulls_last("num_tasks"), F.desc_nulls_last("num_events_supported"), F.asc_nulls_first("staffId"))
     )

@@ -84,7 +84,7 @@ def revenue_by_hotel(t: dict[str, DataFrame], literal: bool = False, totals: Dat
         )
     return per_hotel.select(
         "hotelId", "hotel_name", to_money(F.col("rev")).alias("total_revenue"), "num_reservations"
-    ).orderBy(F.desc("total_revenue"), F.asc("hotelId"))
+    ).orderBy(F.desc_nulls_last("total_revenue"), F.asc_nulls_first("hotelId"))
 
 
 def top_customers(t: dict[str, DataFrame], n: int = 10, literal: bool = False,
@@ -111,7 +111,7 @@ def top_customers(t: dict[str, DataFrame], n: int = 10, literal: bool = False,
     return (
         per_party.select("partyId", "firstName", "lastName",
                          to_money(F.col("rev")).alias("total_revenue"), "num_reservations")
-        .orderBy(F.desc("total_revenue"), F.asc("partyId"))
+        .orderBy(F.desc_nulls_last("total_revenue"), F.asc_nulls_first("partyId"))
         .limit(n)
     )
 
@@ -137,7 +137,7 @@ def revenue_by_charge_type(t: dict[str, DataFrame], totals: DataFrame | None = N
             F.col("n").cast("long").alias("num_charges"),
             mean(F.col("rev"), F.col("n")).alias("avg_charge_amount"),
         )
-        .orderBy(F.desc("total_revenue"), F.asc("chargeTypeId"))
+        .orderBy(F.desc_nulls_last("total_revenue"), F.asc_nulls_first("chargeTypeId"))
     )
 
 
@@ -184,7 +184,7 @@ def room_type_performance(t: dict[str, DataFrame], charge_type_id: int = ROOM_NI
             to_money(F.col("rev")).alias("total_revenue"),
             mean(F.col("rev"), F.col("n")).alias("avg_revenue_per_stay"),
         )
-        .orderBy(F.desc("total_revenue"), F.asc("roomTypeId"))
+        .orderBy(F.desc_nulls_last("total_revenue"), F.asc_nulls_first("roomTypeId"))
     )
 
 
@@ -224,5 +224,5 @@ def value_by_score(t: dict[str, DataFrame], literal: bool = False, totals: DataF
             to_money(F.col("rev")).alias("total_revenue"),
             mean(F.col("rev"), F.col("n")).alias("avg_revenue_per_customer"),
         )
-        .orderBy(F.desc("qualification_score"))
+        .orderBy(F.desc_nulls_last("qualification_score"))
     )

@@ -64,7 +64,7 @@ def search_guest(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
     return (
         out.select("reservationId", "customer_name", "email", "check_in", "check_out",
                    to_money(F.col("rev")).alias("total_revenue"))
-        .orderBy(F.desc_nulls_last("check_in"), F.asc("reservationId"))
+        .orderBy(F.desc_nulls_last("check_in"), F.asc_nulls_first("reservationId"))
     )
 
 
@@ -112,7 +112,7 @@ def search_hotel(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
         )
     return (
         out.select("hotel_name", "year_month", to_money(F.col("rev")).alias("total_revenue"))
-        .orderBy(F.asc_nulls_first("year_month"), F.asc("hotel_name"))
+        .orderBy(F.asc_nulls_first("year_month"), F.asc_nulls_first("hotel_name"))
     )
 
 

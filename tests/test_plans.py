@@ -74,3 +74,8 @@ def test_search_term_becomes_a_literal_contains(tt):
 def test_partial_aggregation_before_every_shuffle_of_charges(tt):
     p = plan(revenue.revenue_by_hotel(tt))
     assert "partial_sum" in p and "partial_count" in p
+
+
+def test_small_dimensions_are_broadcast(tt):
+    p = plan(revenue.revenue_by_hotel(tt))
+    assert "BroadcastHashJoin" in p and "BroadcastExchange" in p

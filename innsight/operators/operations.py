@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions.text import full_name, name_matches
 from innsight.functions.timeparts import ts_literal
+from innsight.operators.preagg import room_hotels
 
 # Check-in window of the reference dashboard, half-open [start, end).
 WINDOW_START = "2025-01-01"
@@ -20,12 +21,7 @@ WINDOW_END = "2025-04-01"
 
 
 def _rooms_with_hotel(t: dict[str, DataFrame]) -> DataFrame:
-    return (
-        t["room"].select("roomId", "wingId")
-        .join(t["wing"].select("wingId", "buildingId"), "wingId")
-        .join(t["building"].select("buildingId", "hotelId"), "buildingId")
-        .join(t["hotel"].select("hotelId", F.col("name").alias("hotel_name")), "hotelId")
-    )
+    return room_hotels(t, t["hotel"].select("hotelId", F.col("name").alias("hotel_name")))
 
 
 def occupancy_by_hotel(t: dict[str, DataFrame], start: str = WINDOW_START, end: str = WINDOW_END,

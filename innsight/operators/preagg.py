@@ -17,12 +17,29 @@ in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions.money import money_sum
 
 
+def shared(t: dict[str, DataFrame], key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Reuse a sub-plan across queries over the same tables.
+
+    Catalogue objects (``HotelTables``) carry a ``shared`` dict; a plain dict
+    of tables just builds the plan.  Only the immutable logical plan is
+    shared: every query still plans and executes it on its own.
+    """
+    memo = getattr(t, "shared", None)
+    if memo is None:
+        return build()
+    if key not in memo:
+        memo[key] = build()
+    return memo[key]
+
+
 def charge_totals(charge: DataFrame) -> DataFrame:
     """Cost total and charge count per (reservation, charge type).
 
@@ -49,18 +66,22 @@ def revenue_per_reservation(
         return src.groupBy("reservationId").agg(
             F.sum("revenue").alias("revenue"), F.sum("n_charges").alias("n_charges")
         )
-    charge = t["charge"]
-    if charge_type_id is not None:
-        charge = charge.where(F.col("chargeTypeId") == charge_type_id)
-    return charge.groupBy("reservationId").agg(
-        money_sum("cost").alias("revenue"), F.count("cost").alias("n_charges")
-    )
+
+    def build() -> DataFrame:
+        charge = t["charge"]
+        if charge_type_id is not None:
+            charge = charge.where(F.col("chargeTypeId") == charge_type_id)
+        return charge.groupBy("reservationId").agg(
+            money_sum("cost").alias("revenue"), F.count("cost").alias("n_charges")
+        )
+
+    return shared(t, ("revenue_per_reservation", charge_type_id), build)
 
 
 def existing_reservations(t: dict[str, DataFrame]) -> DataFrame:
     """Reservation keys; joining on them keeps the reference's inner join to
     ``reservation`` (a charge or stay of an unknown reservation drops out)."""
-    return t["reservation"].select("reservationId")
+    return shared(t, ("reservation_ids",), lambda: t["reservation"].select("reservationId"))
 
 
 def room_hotels(t: dict[str, DataFrame], hotels: DataFrame | None = None) -> DataFrame:
@@ -70,16 +91,25 @@ def room_hotels(t: dict[str, DataFrame], hotels: DataFrame | None = None) -> Dat
     Dimension-sized; the planner broadcasts each side whose measured size is
     under the broadcast threshold and shuffles it otherwise.
     """
-    hotels = t["hotel"].select("hotelId") if hotels is None else hotels
+    if hotels is None:
+        return shared(t, ("room_hotels",), lambda: room_hotels(t, t["hotel"].select("hotelId")))
     return (
-        t["room"].select("roomId", "wingId")
-        .join(t["wing"].select("wingId", "buildingId"), "wingId")
+        room_buildings(t)
         .join(t["building"].select("buildingId", "hotelId"), "buildingId")
         .join(hotels, "hotelId")
         .select("roomId", *hotels.columns)
     )
 
 
+def room_buildings(t: dict[str, DataFrame]) -> DataFrame:
+    """``roomId, buildingId`` through room -> wing."""
+    return shared(t, ("room_buildings",), lambda: (
+        t["room"].select("roomId", "wingId")
+        .join(t["wing"].select("wingId", "buildingId"), "wingId")
+        .select("roomId", "buildingId")
+    ))
+
+
 def weighted(revenue: str, k: str) -> F.Column:
     """``revenue * k``: cents times the fan-out of the reservation."""
     return F.col(revenue) * F.col(k)

@@ -63,6 +63,7 @@ class HotelTables(Mapping):
         self.sf_dir = sf_dir.rstrip("/")
         self._src: dict[str, DataFrame] = {}
         self._built: dict[str, DataFrame] = {}
+        self.shared: dict[tuple, DataFrame] = {}  # sub-plans shared by queries
         self._builders = {
             name[len("_t_"):]: getattr(self, name) for name in dir(self) if name.startswith("_t_")
         }

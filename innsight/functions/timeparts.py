@@ -34,7 +34,12 @@ def month_text(c: Column) -> Column:
 
 def year_month_text(c: Column) -> Column:
     """``'2025-01'``."""
-    return F.concat(year_text(c), F.lit("-"), month_text(c))
+    return month_key_text(F.year(c), F.month(c))
+
+
+def month_key_text(year: Column, month: Column) -> Column:
+    """``'2025-01'`` from integer year and month (NULL if either is NULL)."""
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
 
 
 def datetime_text(c: Column) -> Column:

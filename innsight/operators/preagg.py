@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions.money import money_sum
+from innsight.functions.timeparts import month_int, year_int
 
 
 def shared(t: dict[str, DataFrame], key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
@@ -41,12 +42,19 @@ def shared(t: dict[str, DataFrame], key: tuple, build: Callable[[], DataFrame])
 
 
 def charge_totals(charge: DataFrame) -> DataFrame:
-    """Cost total and charge count per (reservation, charge type).
+    """Cost total and charge count per (reservation, charge type, calendar
+    month of the charge).
 
-    The one shared pre-aggregate of the dashboard: every revenue query except
-    the monthly trend can be answered from it.
+    The one shared pre-aggregate of the dashboard: all six revenue results
+    (monthly trend, by hotel, top customers, by charge type, room types,
+    value by score) can be answered from it, so a refresh reads the charges
+    once.
     """
-    return charge.groupBy("reservationId", "chargeTypeId").agg(
+    when = F.col("dateTime")
+    return charge.groupBy(
+        "reservationId", "chargeTypeId",
+        year_int(when).alias("revenue_year"), month_int(when).alias("revenue_month"),
+    ).agg(
         money_sum("cost").alias("revenue"),
         F.count("cost").alias("n_charges"),
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions.money import mean, money_sum, to_money
-from innsight.functions.timeparts import month_int, month_text, year_int, year_text
+from innsight.functions.timeparts import month_int, year_int
 from innsight.operators.preagg import (
     existing_reservations,
     revenue_per_reservation,
@@ -29,24 +29,34 @@ from innsight.operators.preagg import (
 ROOM_NIGHT = 1  # charge type of room-night charges
 
 
-def _monthly(t: dict[str, DataFrame], year_col, month_col) -> DataFrame:
-    c = t["charge"]
+def _monthly(t: dict[str, DataFrame], text: bool, totals: DataFrame | None) -> DataFrame:
+    # Group on integer calendar parts (cheap keys); the text form is a
+    # one-to-one rendering applied to the few result rows only.
+    if totals is not None:
+        per_month = totals.groupBy("revenue_year", "revenue_month").agg(F.sum("revenue").alias("rev"))
+    else:
+        when = F.col("dateTime")
+        per_month = t["charge"].groupBy(
+            year_int(when).alias("revenue_year"), month_int(when).alias("revenue_month")
+        ).agg(money_sum("cost").alias("rev"))
+    y, m = F.col("revenue_year"), F.col("revenue_month")
+    if text:
+        y, m = F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0")
     return (
-        c.groupBy(year_col(F.col("dateTime")).alias("revenue_year"),
-                  month_col(F.col("dateTime")).alias("revenue_month"))
-        .agg(to_money(money_sum("cost")).alias("total_revenue"))
+        per_month.select(y.alias("revenue_year"), m.alias("revenue_month"),
+                         to_money(F.col("rev")).alias("total_revenue"))
         .orderBy(F.asc_nulls_first("revenue_year"), F.asc_nulls_first("revenue_month"))
     )
 
 
-def monthly_revenue(t: dict[str, DataFrame]) -> DataFrame:
+def monthly_revenue(t: dict[str, DataFrame], totals: DataFrame | None = None) -> DataFrame:
     """``revenue_year int, revenue_month int, total_revenue``."""
-    return _monthly(t, year_int, month_int)
+    return _monthly(t, False, totals)
 
 
-def monthly_revenue_text(t: dict[str, DataFrame]) -> DataFrame:
+def monthly_revenue_text(t: dict[str, DataFrame], totals: DataFrame | None = None) -> DataFrame:
     """As Q1a with text parts ``'2025'``, ``'01'``."""
-    return _monthly(t, year_text, month_text)
+    return _monthly(t, True, totals)
 
 
 def revenue_by_hotel(t: dict[str, DataFrame], literal: bool = False, totals: DataFrame | None = None) -> DataFrame:

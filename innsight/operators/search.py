@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions.money import cents, money_sum, to_money
 from innsight.functions.text import contains_ci, full_name, name_matches
-from innsight.functions.timeparts import year_month_text
+from innsight.functions.timeparts import month_int, month_key_text, year_int, year_month_text
 from innsight.operators.operations import search_staff
 from innsight.operators.preagg import existing_reservations, room_hotels, weighted
 
@@ -102,13 +102,15 @@ def search_hotel(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
             .agg(F.count(F.lit(1)).alias("k"))
             .join(existing_reservations(t), "reservationId")
         )
+        when = F.col("dateTime")
         out = (
             t["charge"]
-            .select("reservationId", year_month_text(F.col("dateTime")).alias("year_month"),
+            .select("reservationId", year_int(when).alias("y"), month_int(when).alias("m"),
                     cents("cost").alias("revenue"))
             .join(hs, "reservationId")
-            .groupBy("hotel_name", "year_month")
+            .groupBy("hotel_name", "y", "m")  # integer keys; text only on result rows
             .agg(F.sum(weighted("revenue", "k")).alias("rev"))
+            .select("hotel_name", month_key_text(F.col("y"), F.col("m")).alias("year_month"), "rev")
         )
     return (
         out.select("hotel_name", "year_month", to_money(F.col("rev")).alias("total_revenue"))

@@ -94,10 +94,10 @@ def key_report(t: dict[str, DataFrame], composite: bool | None = None) -> DataFr
     """B2 (single-column keys), B3 (``composite=True``) or both (``None``):
     one :func:`key_summary` row per table.
 
-    All tables' keys are tagged with their table name and counted in a single
+    All tables' keys are tagged with their table and counted in a single
     aggregation (one job and one shuffle for every table together, map-side
-    partial counts first); a small list of the tables keeps empty ones in the
-    report with zero counts.
+    partial counts first).  One zero-count padding row per table keeps an
+    empty table in the report without any join.
     """
     items = [(name, PRIMARY_KEYS[name]) for name in t if name in PRIMARY_KEYS
              and (composite is None or (len(PRIMARY_KEYS[name]) > 1) == composite)]
@@ -105,28 +105,32 @@ def key_report(t: dict[str, DataFrame], composite: bool | None = None) -> DataFr
     kcols = [f"k{i}" for i in range(width)]
     tagged = _union_all([
         t[name].select(
-            F.lit(name).alias("table_name"),
+            F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
             *[(F.col(keys[i]) if i < len(keys) else F.lit(None)).cast("long").alias(kcols[i])
               for i in range(width)],
         )
         for name, keys in items
     ])
-    per_table = (
-        tagged.groupBy("table_name", *kcols).agg(F.count(F.lit(1)).alias("rows"))
-        .groupBy("table_name").agg(
-            F.sum("rows").alias("num_rows"),
-            F.count(F.lit(1)).alias("num_keys"),
-            F.count_if(F.col("rows") > 1).alias("duplicate_keys"),
-            F.sum(F.when(F.col("rows") > 1, F.col("rows")).otherwise(0)).alias("duplicate_rows"),
-        )
+    per_key = (
+        tagged.groupBy("table_name", "key_columns", *kcols)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select("table_name", "key_columns", "rows", F.lit(1).alias("is_key"))
     )
     spark = next(iter(t.values())).sparkSession
-    names = spark.createDataFrame([(name, ",".join(keys)) for name, keys in items],
-                                  "table_name string, key_columns string")
-    return names.join(per_table, "table_name", "left").select(
-        "table_name", "key_columns",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-          for c in ("num_rows", "num_keys", "duplicate_keys", "duplicate_rows")],
+    padding = spark.createDataFrame(
+        [(name, ",".join(keys), 0, 0) for name, keys in items],
+        "table_name string, key_columns string, rows long, is_key int",
+    )
+    dup = F.col("rows") > 1
+    return (
+        per_key.unionByName(padding)
+        .groupBy("table_name", "key_columns")
+        .agg(
+            F.sum("rows").cast("long").alias("num_rows"),
+            F.sum("is_key").cast("long").alias("num_keys"),
+            F.count_if(dup).cast("long").alias("duplicate_keys"),
+            F.sum(F.when(dup, F.col("rows")).otherwise(0)).cast("long").alias("duplicate_rows"),
+        )
     )
 
 

@@ -114,3 +114,19 @@ def test_q2_brute_force(t, rows):
                 resv.setdefault(h, set()).add(c[1])
     got = {r.hotelId: (r.total_revenue, r.num_reservations) for r in revenue.revenue_by_hotel(t).collect()}
     assert got == {h: (rev[h] / 100.0, len(resv[h])) for h in rev}
+
+
+@pytest.mark.parametrize("seed", [11, 23])
+def test_other_random_tables(spark, seed):
+    """The same equalities on differently drawn tables (other fan-outs,
+    orphans, NULL dates and ties)."""
+    from fixture import duck_tables, make_rows, spark_tables
+
+    rows = make_rows(seed=seed, n_res=90)
+    t = spark_tables(spark, rows)
+    con = duck_tables(rows)
+    for key, (fn, sql) in CASES.items():
+        try:
+            assert_same(spark_rows(fn(t, False)), duck_rows(con, sql))
+        except AssertionError as e:
+            raise AssertionError(f"seed={seed} query={key}") from e

@@ -59,8 +59,15 @@ def monthly_revenue_text(t: dict[str, DataFrame], totals: DataFrame | None = Non
     return _monthly(t, True, totals)
 
 
-def revenue_by_hotel(t: dict[str, DataFrame], literal: bool = False, totals: DataFrame | None = None) -> DataFrame:
-    """Q2: ``hotelId, hotel_name, total_revenue, num_reservations``."""
+def revenue_by_hotel(t: dict[str, DataFrame], literal: bool = False, totals: DataFrame | None = None,
+                     trust_references: bool = False) -> DataFrame:
+    """Q2: ``hotelId, hotel_name, total_revenue, num_reservations``.
+
+    ``trust_references`` drops the join to ``reservation`` whose only effect
+    is to drop charges and stays of unknown reservations: valid, and one
+    shuffle of reservation keys cheaper, once the orphan check (B4) reports
+    none for them.  Off by default.
+    """
     hotel = t["hotel"].select("hotelId", F.col("name").alias("hotel_name"))
     if literal:
         per_hotel = (
@@ -84,9 +91,10 @@ def revenue_by_hotel(t: dict[str, DataFrame], literal: bool = False, totals: Dat
             .groupBy("reservationId", "hotelId")
             .agg(F.count(F.lit(1)).alias("k"))
         )
+        if not trust_references:
+            rc = rc.join(existing_reservations(t), "reservationId")
         per_hotel = (
-            rc.join(existing_reservations(t), "reservationId")
-            .join(hs, "reservationId")
+            rc.join(hs, "reservationId")
             .groupBy("hotelId")
             .agg(F.sum(weighted("revenue", "k")).alias("rev"),
                  F.count(F.lit(1)).alias("num_reservations"))
@@ -152,12 +160,13 @@ def revenue_by_charge_type(t: dict[str, DataFrame], totals: DataFrame | None = N
 
 
 def room_type_performance(t: dict[str, DataFrame], charge_type_id: int = ROOM_NIGHT, literal: bool = False,
-                          totals: DataFrame | None = None) -> DataFrame:
+                          totals: DataFrame | None = None, trust_references: bool = False) -> DataFrame:
     """Q5: per room type, charges of one type only:
     ``roomTypeId, room_type, num_stays, total_revenue, avg_revenue_per_stay``.
 
     The mean is over joined charge rows (a charge counts once per stay of its
-    reservation), as in the reference.
+    reservation), as in the reference.  ``trust_references`` as in
+    :func:`revenue_by_hotel`.
     """
     room_type = t["room_type"].select("roomTypeId", F.col("name").alias("room_type"))
     if literal:
@@ -178,9 +187,10 @@ def room_type_performance(t: dict[str, DataFrame], charge_type_id: int = ROOM_NI
             .groupBy("reservationId", "roomTypeId")
             .agg(F.count(F.lit(1)).alias("k"))
         )
+        if not trust_references:
+            rc = rc.join(existing_reservations(t), "reservationId")
         per_type = (
             hs.join(rc, "reservationId")
-            .join(existing_reservations(t), "reservationId")
             .groupBy("roomTypeId")
             .agg(F.sum("k").alias("num_stays"),
                  F.sum(weighted("revenue", "k")).alias("rev"),
@@ -198,11 +208,14 @@ def room_type_performance(t: dict[str, DataFrame], charge_type_id: int = ROOM_NI
     )
 
 
-def value_by_score(t: dict[str, DataFrame], literal: bool = False, totals: DataFrame | None = None) -> DataFrame:
+def value_by_score(t: dict[str, DataFrame], literal: bool = False, totals: DataFrame | None = None,
+                   trust_references: bool = False) -> DataFrame:
     """Q7: ``qualification_score, num_customers, total_revenue,
     avg_revenue_per_customer``; the mean is over joined charge rows.
 
     A party with several qualification rows counts under each of them.
+    ``trust_references`` drops the existence join to ``party`` (valid once
+    B4 finds no orphan qualification or reservation rows).
     """
     cq = t["customer_qualification"].select("partyId", F.col("score").alias("qualification_score"))
     if literal:
@@ -220,8 +233,9 @@ def value_by_score(t: dict[str, DataFrame], literal: bool = False, totals: DataF
             .join(revenue_per_reservation(t, totals=totals), "reservationId")
             .groupBy("partyId")
             .agg(F.sum("revenue").alias("rev"), F.sum("n_charges").alias("n"))
-            .join(t["party"].select("partyId"), "partyId")
         )
+        if not trust_references:
+            per_party = per_party.join(t["party"].select("partyId"), "partyId")
         per_score = (
             cq.join(per_party, "partyId")
             .groupBy("qualification_score")

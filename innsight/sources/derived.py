@@ -258,13 +258,15 @@ class HotelTables(Mapping):
 _CATALOG: dict[tuple[str, str], HotelTables] = {}
 
 
-def hotel_tables(spark: SparkSession, sf_dir: str) -> HotelTables:
+def hotel_tables(spark: SparkSession, sf_dir: str, fresh: bool = False) -> HotelTables:
     """All mapped hotel tables, keyed by table name, built on first use.
 
     Memoized per (application, folder), like tables registered once in a
-    catalog: the plans are immutable and re-read the files on every action.
+    catalog: the plans are immutable and re-read the data on every action,
+    but keep the file listing taken when each table was first set up.  Pass
+    ``fresh=True`` after files were added to or removed from the folder.
     """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _CATALOG:
+    if fresh or key not in _CATALOG:
         _CATALOG[key] = HotelTables(spark, sf_dir)
     return _CATALOG[key]

@@ -1,7 +1,7 @@
 """Command line: what the reference's pages offer, as Spark jobs.
 
     python -m innsight.cli dashboard --tables ROOT --out DIR
-    python -m innsight.cli search --tables ROOT --kind guest --q smith [--out DIR | --show 20]
+    python -m innsight.cli search --tables ROOT --kind guest --q NAME [--out DIR | --show 20]
     python -m innsight.cli check --tables ROOT --out DIR
     python -m innsight.cli ingest --src DIR --table charge --tables ROOT [--format csv]
 

@@ -18,12 +18,13 @@ import random
 import duckdb
 from pyspark.sql import DataFrame, SparkSession
 
+from innsight.sources.derived import CHARGE_TYPE_NAMES, OCCUPATIONS, STATUS_NAMES, TASK_TYPE_NAMES
 from innsight.sources.schemas import TABLES, schema
 
-HOTEL_NAMES = ["Seaside Grand", "Mountain View", "City Center Hotel", "Seaside Grand", "Café Ünïcode 50%_off\\",
+HOTEL_NAMES = ["Harbor Light", "Pine Ridge Lodge", "Old Town Hotel", "Harbor Light", "Café Ünïcode 50%_off\\",
                "Empty Hotel"]
-FIRST = ["Casey", "riley", "JORDAN", "Avery", "Sam", "Émile", "Zoë", "Quinn", "O'Brien", "Pat_ty"]
-LAST = ["Smith", "SMITH", "smithers", "Lopez", "Nguyen", "Kim", "Brown", "100%", "Back\\slash", "Müller"]
+FIRST = ["Alex", "morgane", "ROBIN", "Dana", "Lee", "Émile", "Zoë", "Kai", "O'Neil", "Jo_ey"]
+LAST = ["Hart", "HART", "hartley", "Moreno", "Tran", "Okafor", "Silva", "100%", "Back\\slash", "Müller"]
 
 
 def _ts(day: int, hour: int = 15) -> dt.datetime:
@@ -40,9 +41,8 @@ def make_rows(seed: int = 7, n_res: int = 60, orphans: bool = True) -> dict[str,
     r["wing"] = [(w, w, f"W{w}", w % 2, 1 - w % 2, int(w % 3 == 0)) for w in range(1, 8)]
     r["floor"] = [(w * 3 + lv - 1, w, "Smoking" if lv == 3 else "Non-smoking", lv)
                   for w in range(1, 8) for lv in (1, 2, 3)]
-    r["room_type"] = [(i + 1, n) for i, n in enumerate(["Standard King", "Standard Double", "Deluxe King",
-                                                           "Suite", "Accessible King"])]
-    r["status_type"] = [(1, "Available"), (2, "Occupied"), (3, "Out of Service")]
+    r["room_type"] = [(i + 1, n) for i, n in enumerate(["Twin", "Queen", "King", "Junior Suite", "Family"])]
+    r["status_type"] = [(i + 1, n) for i, n in enumerate(STATUS_NAMES)]
     n_rooms = 24
     for rid in range(1, n_rooms + 1):
         wing = 1 + (rid - 1) % 7
@@ -60,7 +60,7 @@ def make_rows(seed: int = 7, n_res: int = 60, orphans: bool = True) -> dict[str,
     r["customer_qualification"].append((1001, 5, 1 + 5 % 10, "same score again"))  # party 5 twice, same score
     if orphans:
         r["customer_qualification"].append((1002, 777, 4, "unknown party"))
-    r["charge_type"] = [(i + 1, n) for i, n in enumerate(["Room Night", "Resort Fee", "Parking", "Restaurant", "Spa"])]
+    r["charge_type"] = [(i + 1, n) for i, n in enumerate(CHARGE_TYPE_NAMES)]
 
     stay_id = charge_id = 0
     for res in range(1, n_res + 1):
@@ -100,12 +100,11 @@ def make_rows(seed: int = 7, n_res: int = 60, orphans: bool = True) -> dict[str,
         charge_id += 1
         r["charge"].append((charge_id, 556, 1, None, 10.0, _ts(9), None, 0))
 
-    staff = [(1, "Taylor", "Nguyen", "Front Desk"), (2, "Jordan", "Kim", "Housekeeping"),
-             (3, "Morgan", "Lopez", "Maintenance"), (4, "Casey", "Brown", "Concierge"),
-             (5, "Riley", "Patel", "Events Manager"), (6, "Ana", "Ñandú", "Front Desk")]
+    staff = [(1, "Nia", "Osei", OCCUPATIONS[0]), (2, "Omar", "Haddad", OCCUPATIONS[1]),
+             (3, "Lena", "Vogel", OCCUPATIONS[2]), (4, "Ravi", "Iyer", OCCUPATIONS[3]),
+             (5, "Sofia", "Marin", OCCUPATIONS[4]), (6, "Ana", "Ñandú", OCCUPATIONS[0])]
     r["staff"] = staff
-    r["task_type"] = [(1, "Clean Room"), (2, "Maintenance Request"), (3, "Room Service Delivery"),
-                      (4, "Mini Bar Refill")]
+    r["task_type"] = [(i + 1, n) for i, n in enumerate(TASK_TYPE_NAMES)]
     r["event"] = [(e, 1 + e % n_res, 1 + e % n_rooms, None if e % 4 == 0 else e) for e in range(1, 16)]
     task_id = 0
     for s, n in ((2, 12), (5, 7), (6, 3)):

@@ -23,12 +23,12 @@ CASES = {
     "q6": (lambda t, lit: operations.occupancy_by_hotel(t, *WINDOW, literal=lit), oracle.body_occupancy_by_hotel(*WINDOW)),
     "q7": (lambda t, lit: revenue.value_by_score(t, literal=lit), oracle.body_value_by_score()),
     "q8": (lambda t, lit: operations.staff_workload(t, literal=lit), oracle.body_staff_workload()),
-    "s1_smith": (lambda t, lit: search.search_guest(t, "smith", literal=lit), oracle.body_search_guest("smith")),
-    "s1_wild": (lambda t, lit: search.search_guest(t, "s_i", literal=lit), oracle.body_search_guest("s_i")),
-    "s2_seaside": (lambda t, lit: search.search_hotel(t, "SEASIDE", literal=lit), oracle.body_search_hotel("SEASIDE")),
+    "s1_hart": (lambda t, lit: search.search_guest(t, "hart", literal=lit), oracle.body_search_guest("hart")),
+    "s1_wild": (lambda t, lit: search.search_guest(t, "r_n", literal=lit), oracle.body_search_guest("r_n")),
+    "s2_harbor": (lambda t, lit: search.search_hotel(t, "HARBOR", literal=lit), oracle.body_search_hotel("HARBOR")),
     "s2_hotel": (lambda t, lit: search.search_hotel(t, "hotel", literal=lit), oracle.body_search_hotel("hotel")),
     "s3_o": (lambda t, lit: operations.search_staff(t, "o", literal=lit), oracle.body_search_staff("o")),
-    "s3_full": (lambda t, lit: operations.search_staff(t, "riley pat", literal=lit), oracle.body_search_staff("riley pat")),
+    "s3_full": (lambda t, lit: operations.search_staff(t, "sofia mar", literal=lit), oracle.body_search_staff("sofia mar")),
 }
 
 

@@ -15,7 +15,7 @@ def _like(term: str):
 
 
 def test_blank_term_or_unknown_kind_gives_no_rows(t):
-    for kind, q in (("guest", ""), ("guest", "   "), ("hotel", "\t"), ("staff", ""), ("nope", "smith")):
+    for kind, q in (("guest", ""), ("guest", "   "), ("hotel", "\t"), ("staff", ""), ("nope", "hart")):
         df = search.search(t, kind, q)
         assert df.collect() == []
     assert search.search(t, "nope", "x").columns == search.search_guest(t, "x").columns
@@ -24,14 +24,14 @@ def test_blank_term_or_unknown_kind_gives_no_rows(t):
 def test_term_is_trimmed_and_kind_dispatched(t):
     from innsight.operators.operations import search_staff
 
-    a = search.search(t, "staff", "  riley ").collect()
-    b = search_staff(t, "riley").collect()
+    a = search.search(t, "staff", "  sofia ").collect()
+    b = search_staff(t, "sofia").collect()
     assert a == b and len(a) == 1
-    assert search.search(t, q=" smith ").collect() == search.search_guest(t, "smith").collect()
+    assert search.search(t, q=" hart ").collect() == search.search_guest(t, "hart").collect()
 
 
 def test_guest_search_brute_force(t, rows):
-    for term in ("smith", "%", "_i", "\\", "müller", "zzz"):
+    for term in ("hart", "%", "_i", "\\", "müller", "zzz"):
         rx = _like(term)
         parties = {p[0]: p for p in rows["party"]
                    if rx.fullmatch(p[1]) or rx.fullmatch(p[2]) or rx.fullmatch(f"{p[1]} {p[2]}")}
@@ -61,7 +61,7 @@ def test_guest_search_order_newest_first_no_stay_last(t):
 
 
 def test_hotel_search_merges_namesakes(t):
-    out = search.search_hotel(t, "seaside").collect()
-    assert {r.hotel_name for r in out} == {"Seaside Grand"}
+    out = search.search_hotel(t, "harbor").collect()
+    assert {r.hotel_name for r in out} == {"Harbor Light"}
     months = [r.year_month for r in out]
     assert len(months) == len(set(months))  # hotels 1 and 4 share one row per month

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from innsight.session import staging_dir
 from innsight.sources.schemas import schema
@@ -33,9 +34,10 @@ def ingest_files(
     ``target_root/table``; returns the running query.
 
     ``checkpoint`` defaults to a folder under the session's shared staging
-    folder (``spark.checkpoint.dir``), never a machine-local path.  For CSV,
-    ``columns`` names the columns the files carry, in file order (default:
-    all declared columns); absent declared columns get their defaults.
+    folder (``spark.checkpoint.dir``), never a machine-local path.
+    ``columns`` names the columns the files carry (for CSV in file order;
+    default: all declared columns); declared columns not carried get their
+    declared defaults.
     """
     reader = spark.readStream
     if max_files_per_trigger:
@@ -44,7 +46,9 @@ def ingest_files(
         raw = reader.schema(text_schema(table, columns)).option("header", "true").csv(source_dir)
         rows = from_text(raw, table)
     elif fmt == "parquet":
-        rows = reader.schema(schema(table)).parquet(source_dir)
+        declared = schema(table)
+        keep = set(columns or declared.fieldNames())
+        rows = reader.schema(StructType([f for f in declared.fields if f.name in keep])).parquet(source_dir)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     out = apply_defaults(rows, table)

@@ -37,3 +37,15 @@ def test_ingest_is_incremental_and_restartable(spark):
     assert out[0].dateTime == dt.datetime(2025, 1, 16, 15) and out[2].dateTime is None
     assert all(r.splitCharge == 0 and r.time is None for r in out)
     assert out[1].description is None  # empty CSV field reads as NULL
+
+
+def test_parquet_ingest_fills_defaults(spark):
+    base = tempfile.mkdtemp(prefix="stream-pq-", dir="/tmp")
+    src, dst, ckpt = (os.path.join(base, x) for x in ("src", "dst", "ckpt"))
+    cols = ["wingId", "buildingId", "name"]
+    spark.createDataFrame([(1, 2, "North"), (2, 2, "South")], "wingId long, buildingId long, name string") \
+        .write.parquet(src)
+    q = ingest_files(spark, src, "wing", dst, fmt="parquet", checkpoint=ckpt, columns=cols)
+    q.awaitTermination(120)
+    out = spark.read.parquet(os.path.join(dst, "wing")).orderBy("wingId").collect()
+    assert [(r.wingId, r.nearPool, r.nearParking, r.handicapAccessible) for r in out] == [(1, 0, 0, 0), (2, 0, 0, 0)]

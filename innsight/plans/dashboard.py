@@ -10,6 +10,7 @@ lost executor re-reads finished files instead of re-running the charge scan.
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,7 @@ def refresh_dashboard(
     out_dir: str,
     stage_dir: str | None = None,
     parallelism: int = 4,
+    buckets: int | None = None,
     **kwargs,
 ) -> dict[str, str]:
     """Write each dashboard result to ``out_dir/<key>`` as Parquet.
@@ -72,21 +74,35 @@ def refresh_dashboard(
     folder under the session's shared staging folder) and read back.  Returns
     the written paths by key.
     """
-    stage = stage_dir or f"{staging_dir(spark)}/dashboard_stage"
-    charge_totals(t["charge"]).write.mode("overwrite").parquet(f"{stage}/charge_totals")
-    totals = spark.read.parquet(f"{stage}/charge_totals")
-    results = dashboard(t, totals=totals, **kwargs)
-    paths = {key: f"{out_dir.rstrip('/')}/{key}" for key in results}
+    stage = (stage_dir or f"{staging_dir(spark)}/dashboard_stage").rstrip("/")
+    path = f"{stage}/charge_totals"
+    # Bucketed by reservation: the per-reservation aggregations and joins of
+    # five results then read it already partitioned instead of shuffling it.
+    # The aggregated rows are repartitioned into the buckets first, so each
+    # task writes one file per bucket it owns, not one per bucket.  The
+    # catalogue entry only carries the bucketing to the readers and is
+    # dropped afterwards; the files stay in the shared staging folder.
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "innsight_stage_" + hashlib.sha1(path.encode()).hexdigest()[:12]
+    (charge_totals(t["charge"]).repartition(n, "reservationId")
+     .write.mode("overwrite").bucketBy(n, "reservationId").option("path", path).saveAsTable(table))
+    try:
+        totals = spark.table(table)
+        results = dashboard(t, totals=totals, **kwargs)
+        paths = {key: f"{out_dir.rstrip('/')}/{key}" for key in results}
 
-    def write(key: str) -> None:
-        # no coalesce(1): the staff result grows with the data; AQE already
-        # merges the small post-shuffle partitions of the bounded results.
-        results[key].write.mode("overwrite").parquet(paths[key])
+        def write(key: str) -> None:
+            # no coalesce(1): the staff result grows with the data; AQE already
+            # merges the small post-shuffle partitions of the bounded results.
+            results[key].write.mode("overwrite").parquet(paths[key])
 
-    # The eight results are independent jobs over the same inputs: submit them
-    # together so the scheduler can fill the executors (each write still runs
-    # as ordinary distributed stages; only job submission is concurrent).
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        for f in [pool.submit(write, key) for key in results]:
-            f.result()
+        # The eight results are independent jobs over the same inputs: submit
+        # them together so the scheduler can fill the executors (each write
+        # still runs as ordinary distributed stages; only job submission is
+        # concurrent).
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            for f in [pool.submit(write, key) for key in results]:
+                f.result()
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: keeps the files
     return paths

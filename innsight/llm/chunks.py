@@ -66,65 +66,102 @@ def chunked(texts: pa.Array, spaces: bool) -> tuple[np.ndarray, np.ndarray, pa.A
     return coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0], coded.dictionary
 
 
-def gathered(codes: np.ndarray, rows: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gathered(codes: np.ndarray, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate ``flat`` runs by code: (values, first value of each text and the end)."""
-    starts = np.zeros(len(lens) + 1, np.int64)
-    np.cumsum(lens, out=starts[1:])
-    n = lens[codes]
+    begin = starts[codes]
+    n = starts[codes + 1] - begin
     ends = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(n, out=ends[1:])
-    shift = (starts[codes] - ends[:-1])
-    if len(flat) < 1 << 31 and ends[-1] < 1 << 31:
-        at = np.repeat(shift.astype(np.int32), n)
-        at += np.arange(ends[-1], dtype=np.int32)
-    else:
-        at = np.repeat(shift, n) + np.arange(ends[-1])
+    at = np.repeat(begin - ends[:-1], n)
+    at += np.arange(ends[-1])
     return flat[at], ends[rows]
 
 
 class WordIds:
-    """Ids of distinct chunks by the tokenizers library; remembers up to ``limit`` chunks per worker process."""
+    """Ids of distinct chunks by the tokenizers library.
+
+    A worker process keeps the chunks it has seen, up to ``limit``, column-wise
+    (some 30 bytes each).  New chunks are encoded many to a call, as one text in
+    which a separator that no plain chunk can contain stands between them; its id
+    tells them apart again.  A chunk with white space (but for its one leading
+    space) or with the separator goes alone.
+    """
 
     _made: dict = {}
 
-    def __init__(self, spec: str, limit: int = 400_000):
+    def __init__(self, spec: str, spaces: bool, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_str(spec)
         self._tok.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
         self._limit = limit
+        # byte-level: a line break is a token of its own before a chunk; else a control character as a word
+        self._between = "\n" if spaces else " \x01 "
+        self._mark = self._tok.encode(self._between.strip(" "), add_special_tokens=False).ids
+        self._odd = f"[{_WS}\\x{{01}}]" if not spaces else f"^ ?[^{_WS}]*[{_WS}]"
+        self._joins = len(self._mark) == 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self._words = pa.array([], pa.string())
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @classmethod
-    def of(cls, key: str, spec: str) -> WordIds:
+    def of(cls, key: str, spec: str, spaces: bool) -> WordIds:
         """One per worker process and tokenizer file."""
-        if key not in cls._made:
-            cls._made[key] = cls(spec)
-        return cls._made[key]
-
-    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one after the other, number of ids of each word)."""
-        listed = words.to_pylist()
-        known = self._known
-        new = [w for w in listed if w not in known]
-        if len(known) + len(new) > self._limit:
-            known.clear()
-            new = listed
-        # a word at a time in the cache, many in one call
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        found = [known[w] for w in listed]
-        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        if (key, spaces) not in cls._made:
+            cls._made[key, spaces] = cls(spec, spaces)
+        return cls._made[key, spaces]
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word)."""
+        lens = np.zeros(len(words), np.int64)
+        odd = pc.match_substring_regex(words, self._odd).to_numpy(zero_copy_only=False) if self._joins else np.ones(len(words), bool)
+        odd |= pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~odd)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in range(0, len(plain), 2_000):
+            at = plain[i : i + 2_000]
+            text = self._between.join(words.take(pa.array(at)).to_pylist())
+            ids = np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(ids == self._mark[0])
+            assert len(marks) == len(at) - 1
+            parts.append((at, np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1))
+        alone = np.flatnonzero(odd)
+        if len(alone):
+            each = [e.ids for e in self._tok.encode_batch_fast(words.take(pa.array(alone)).to_pylist(), add_special_tokens=False)]
+            parts.append((alone, np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each])))
+        for at, _, n in parts:
+            lens[at] = n
+        out, starts = np.empty(lens.sum(), np.uint32), np.cumsum(lens) - lens
+        for at, ids, n in parts:
+            out[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, lens
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        """Place of each word among the known ones; ``flat[starts[i]:starts[i + 1]]`` are its ids."""
+        place = pc.index_in(words, value_set=self._words)
+        if place.null_count:
+            if len(self._words) + place.null_count > self._limit:
+                self._forget()
+                place = pc.index_in(words, value_set=self._words)
+            new = words.filter(pc.is_null(place))
+            ids, lens = self._encode(new)
+            first = len(self._words)
+            self._words = pa.concat_arrays([self._words, new])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
+            self.flat = np.concatenate([self.flat, ids])
+            known = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            known[pc.is_null(place).to_numpy(zero_copy_only=False)] = first + np.arange(len(new))
+            return known
+        return place.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def encoded(texts: pa.Array, words: WordIds, spaces: bool, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, first id of each text and the end), ``end_id`` appended to each text."""
     codes, rows, distinct = chunked(texts, spaces)
-    flat, lens = words(distinct)
-    ids, at = gathered(codes, rows, flat, lens)
+    ids, at = gathered(words(distinct)[codes], rows, words.flat, words.starts)
     if end_id is not None:
         ids = np.insert(ids, at[1:], np.uint32(end_id))
         at = at + np.arange(len(at))

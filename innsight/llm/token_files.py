@@ -11,7 +11,7 @@ vocabulary.  Both are Parquet, so they go wherever Spark can write and a lost
 executor repeats only its tasks.
 
 Defined results: a NULL text is the empty text (its end id alone); repeated
-rows are kept; rows of equal or NULL doc_id are ordered by their coded bytes
+rows are kept; rows of equal or NULL doc_id are ordered by length and bytes of their ids
 (NULL first); an empty table gives empty files; further columns are not
 carried.
 """
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.chunks import WordIds, chunked, encoded, slices
-from innsight.llm.common import partitions
+from innsight.llm.chunks import WordIds, encoded, slices
+from innsight.llm.common import partitions, stage
 
 # fixed values: bytes of the four ranks of each control byte
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -37,15 +37,21 @@ def rank_bytes(ranks: np.ndarray) -> np.ndarray:
     return (1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
 
 
-def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of one document."""
+def pack_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control, data) of each of consecutive documents."""
     n = rank_bytes(ranks)
     raw = np.ascontiguousarray(ranks, "<u4").view(np.uint8).reshape(-1, 4)
     data = raw[np.arange(4) < n[:, None]].tobytes()
-    codes = np.zeros(-(-len(n) // 4) * 4, np.uint8)
-    codes[: len(n)] = n - 1
+    ends = np.cumsum(counts)
+    data_at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[np.concatenate([[0], ends])]
+    groups = -(-counts // 4)
+    control_at = np.concatenate([[0], np.cumsum(groups)])
+    codes = np.zeros(4 * int(control_at[-1]), np.uint8)
+    codes[np.arange(len(n)) + np.repeat(4 * control_at[:-1] - (ends - counts), counts)] = n - 1
     codes = codes.reshape(-1, 4)
-    return (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes(), data
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
+    cut = lambda x, at: [x[a:b] for a, b in zip(at, at[1:], strict=False)]
+    return cut(control, control_at), cut(data, data_at)
 
 
 def unpack_ranks(counts: np.ndarray, control: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -69,23 +75,45 @@ def unpack_ranks(counts: np.ndarray, control: np.ndarray, data: np.ndarray) -> n
     return out
 
 
-def id_counts(docs: DataFrame, tokenizer: str, spec: str, spaces: bool) -> DataFrame:
-    """(id, n): occurrences of each id over all texts; one partial row per task and id."""
+def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int, spaces: bool) -> tuple[DataFrame, str]:
+    """((doc_id, n_tokens, ids binary), numpy type of an id): two bytes an id where the vocabulary allows, else four."""
+    from tokenizers import Tokenizer
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = WordIds.of(tokenizer, spec), np.zeros(0, np.int64)
+    with open(tokenizer_file, encoding="utf-8") as f:
+        spec = f.read()
+    kind = "<u2" if max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordIds.of(tokenizer_file, spec, spaces)
         for batch in batches:
             for part in slices(batch, "text"):
-                codes, _, distinct = chunked(part.column("text"), spaces)
-                flat, lens = words(distinct)
-                times = np.repeat(np.bincount(codes, minlength=len(lens)), lens)
-                more = np.bincount(flat, times, len(total)).astype(np.int64)
+                flat, at = encoded(part.column("text"), words, spaces, end_id)
+                raw = flat.astype(kind).tobytes()
+                at_byte = at * int(kind[-1])
+                ids = pa.array([raw[a:b] for a, b in zip(at_byte, at_byte[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, "doc_id bigint, n_tokens bigint, ids binary"), kind
+
+
+def _joined(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def id_counts(ids: DataFrame, kind: str) -> DataFrame:
+    """(id, n): occurrences of each id; one partial row per task and id."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                more = np.bincount(_joined(part.column("ids"), kind), minlength=len(total))
                 more[: len(total)] += total
                 total = more
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    partial = docs.select("text").mapInArrow(count, "id bigint, n bigint")
+    partial = ids.select("ids").mapInArrow(count, "id bigint, n bigint")
     return partial.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -93,32 +121,27 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     """Encode ``text`` of (doc_id, text), append ``end_id``, write ``path``/docs and ``path``/ranks.
 
     ``spaces``: whether the tokenizer keeps white space (byte-level) or drops it.
+    The ids are staged once: counted, then put in order and coded.
     """
-    with open(tokenizer_file, encoding="utf-8") as f:
-        spec = f.read()
     spark = docs.sparkSession
-    counts = {r.id: r.n for r in id_counts(docs, tokenizer_file, spec, spaces).collect()}  # at most the vocabulary
-    counts[end_id] = counts.get(end_id, 0) + docs.count()
+    made, kind = token_ids(docs, tokenizer_file, end_id, spaces)
+    staged = stage(made, "token-ids")
+    counts = {r.id: r.n for r in id_counts(staged, kind).collect()}  # at most the vocabulary
     ids = sorted(counts, key=lambda i: (-counts[i], i))
     spark.createDataFrame([(r, i, counts[i]) for r, i in enumerate(ids)], "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(ids, default=0) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds.of(tokenizer_file, spec)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                flat, at = encoded(part.column("text"), words, spaces, end_id)
-                ranks = rank_of[flat]
-                packed = [pack_ranks(ranks[a:b]) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(np.diff(at), pa.int64()),
-                    pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary()),
-                ], ["doc_id", "n_tokens", "control", "data"])
-
-    coded = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, "doc_id bigint, n_tokens bigint, control binary, data binary")
-    order = ["doc_id", "n_tokens", "data"]
-    (coded.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions(*order)
+            for part in slices(batch, "ids"):
+                control, data = pack_ranks(rank_of[_joined(part.column("ids"), kind)], part.column("n_tokens").to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                    ["doc_id", "n_tokens", "control", "data"])
+
+    ordered = staged.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    (ordered.mapInArrow(code, "doc_id bigint, n_tokens bigint, control binary, data binary")
      .write.option("compression", "none").parquet(f"{path}/docs"))
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import hilbert, packing, token_files
+from innsight.llm import hilbert, ngram_join, packing, token_files
 from innsight.llm.common import read, with_running_total
 from innsight.session import staging_dir
 
@@ -29,6 +29,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     path = f"{staging_dir(spark)}/llm-token-files-{uuid.uuid4().hex}"
@@ -44,6 +48,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1,
+    "op6_ngram_jaccard_join": op6,
     "op7_token_files": op7,
     "op8_best_fit_packing": op8,
 }

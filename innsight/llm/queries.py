@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import hilbert, ngram_join, packing, token_files
+from innsight.llm import bpe, hilbert, isolation, ngram_join, packing, token_files
 from innsight.llm.common import read, with_running_total
 from innsight.session import staging_dir
 
@@ -29,6 +29,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = isolation.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), words=5, percent=80)
 
@@ -46,11 +51,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=SEQUENCE)
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1,
+    "op3_isolation_forest": op3,
     "op6_ngram_jaccard_join": op6,
     "op7_token_files": op7,
     "op8_best_fit_packing": op8,
+    "op9_bpe": op9,
 }
 
 ORACLE: dict[str, str] = {}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, hilbert, isolation, ngram_join, packing, token_files
+from innsight.llm import bpe, hilbert, iblt, isolation, ngram_join, packing, token_files
 from innsight.llm.common import read, with_running_total
 from innsight.session import staging_dir
 
@@ -55,6 +55,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(read(spark, sf_dir, "documents")).select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited_text", "utf-8"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1,
     "op3_isolation_forest": op3,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7,
     "op8_best_fit_packing": op8,
     "op9_bpe": op9,
+    "op10_iblt_fingerprints": op10,
 }
 
 ORACLE: dict[str, str] = {}

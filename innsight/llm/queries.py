@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, hilbert, iblt, isolation, ngram_join, packing, token_files
+from innsight.llm import bpe, hilbert, iblt, isolation, ngram_join, packing, surrogates, token_files, toolcalls
 from innsight.llm.common import read, with_running_total
 from innsight.session import staging_dir
 
 SHARDS = 8
 SEQUENCE = 2048
+KEY = "corpus-surrogates-1"  # in production a secret of the deployment
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +30,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = toolcalls.messages_of(read(spark, sf_dir, "conversations"))
+    return toolcalls.link_tool_calls(messages).withColumn("errors", F.to_json("errors"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = isolation.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(read(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_entities")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), words=5, percent=80)
 
@@ -63,7 +73,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1,
+    "op2_tool_call_linking": op2,
     "op3_isolation_forest": op3,
+    "op5_pii_surrogates": op5,
     "op6_ngram_jaccard_join": op6,
     "op7_token_files": op7,
     "op8_best_fit_packing": op8,

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, hilbert, iblt, isolation, ngram_join, packing, surrogates, token_files, toolcalls
+from innsight.llm import bpe, crf, hilbert, iblt, isolation, ngram_join, packing, surrogates, token_files, toolcalls
 from innsight.llm.common import read, with_running_total
 from innsight.session import staging_dir
 
@@ -40,6 +40,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return crf.extract(pages, crf.fit(pages))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(read(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_entities")
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1,
     "op2_tool_call_linking": op2,
     "op3_isolation_forest": op3,
+    "op4_crf_main_text": op4,
     "op5_pii_surrogates": op5,
     "op6_ngram_jaccard_join": op6,
     "op7_token_files": op7,

@@ -161,9 +161,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     if bounds:
         # binary search among the bounds
         table = F.lit(bounds)
-        steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
-        for s in steps:
-            run = _let(run, lambda low, s=s: low + F.when((low + s <= len(bounds)) & (F.get(table, low + (s - 1)) <= F.col("doc_id")), s).otherwise(0))
+        def halved(step: int):
+            return lambda low: low + F.when((low + step <= len(bounds)) & (F.get(table, low + (step - 1)) <= F.col("doc_id")), step).otherwise(0)
+
+        for k in range(len(bounds).bit_length() - 1, -1, -1):
+            run = _let(run, halved(1 << k))
     placed = docs.withColumn("__run", F.coalesce(run, F.lit(0)))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
     inside = Window.partitionBy("__run").orderBy(*order)

@@ -237,7 +237,11 @@ def _candidates(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, cls, n, at): a row per shared shingle in the class's prefix; ``at`` is its place in the whole order."""
+    """(shingle, cls, n, u, at, short): a row per shared shingle in the class's prefix.
+
+    ``at`` is its place in the whole order, of which the first ``u`` shingles are the class's
+    own.  ``short``: it is in the shorter prefix that is enough for the shorter set of a pair.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,24 +253,25 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(unique, take)
             names = np.concatenate([np.zeros(0, np.uint64), *names]).astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names.view(np.int64)), pa.array(np.repeat(batch.column("cls").to_numpy(), take)), pa.array(np.repeat(n, take)), pa.array(at)],
-                ["shingle", "cls", "n", "at"])
+                [pa.array(names.view(np.int64)), pa.array(np.repeat(batch.column("cls").to_numpy(), take)), pa.array(np.repeat(n, take)),
+                 pa.array(np.repeat(unique, take)), pa.array(at), pa.array(at < np.repeat(n + (-2 * percent * n) // (100 + percent) + 1, take))],
+                ["shingle", "cls", "n", "u", "at", "short"])
 
-    return sets.mapInArrow(cut, "shingle bigint, cls bigint, n bigint, at bigint")
+    return sets.mapInArrow(cut, "shingle bigint, cls bigint, n bigint, u bigint, at bigint, short boolean")
 
 
 def _near(percent: int, rows: DataFrame, whole: bool) -> DataFrame:
-    """Length and positional filters on (a, a_n, a_at, b, b_n, b_at); then one row per pair, a < b.
+    """Length and positional filters on (a, a_n, a_u, a_at, b, ...); then one row per pair, a < b.
 
     A shared shingle at places ``a_at`` and ``b_at`` leaves at most the shorter
-    part before it and the shorter part from it on to be shared.  If all
-    shared prefix shingles of a pair are there (``whole``), their number
+    part from it on to be shared, and before it what is not a set's own.  If
+    all shared prefix shingles of a pair are there (``whole``), their number
     takes the place of the part before the last.
     """
     need = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent))
     sized = rows.where(F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n"))
     after = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    near = sized.where(after + F.least("a_at", "b_at") >= need)
+    near = sized.where(after + F.least(F.col("a_at") - F.col("a_u"), F.col("b_at") - F.col("b_u")) >= need)
     if whole:
         near = near.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("both"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"))
         near = near.where(F.col("both") + after - 1 >= need)
@@ -309,28 +314,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
+def _sides(rows: DataFrame, side: str, group: bool) -> DataFrame:
+    names = [F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "u", "at", "short"))]
+    return rows.select("shingle", *names, *([F.col("g").alias(f"g{side}")] if group else []))
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes, enough of them for the same components as all."""
     rows = stage(_prefixes(sets, percent), "prefixes")
+    # the class with the fewest shingles of its own is nearest to what a group has in common
+    pivot = F.min(F.struct("u", "n", "cls", "at"))
     pivots = stage(
-        rows.groupBy("shingle").agg(F.min(F.struct("n", "cls", "at")).alias("p"), F.count("*").alias("many")).where("many > 1")
-        .select("shingle", F.col("p.cls").alias("a"), F.col("p.n").alias("a_n"), F.col("p.at").alias("a_at")), "pivots")
-    member = rows.select("shingle", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
-    to_pivot = member.join(pivots, "shingle").where("a != b")
+        rows.groupBy("shingle").agg(pivot.alias("p"), F.count("*").alias("many")).where("many > 1")
+        .select("shingle", F.col("p.cls").alias("a"), F.col("p.n").alias("a_n"), F.col("p.u").alias("a_u"), F.col("p.at").alias("a_at")), "pivots")
+    to_pivot = _sides(rows, "b", group=False).join(pivots, "shingle").where("a != b")
     checked = stage(_near(percent, to_pivot, whole=False), "checked")
     first = stage(_verified(checked, sets, percent), "links")
     groups = components(first)
-    # lists that still hold more than one group: pairs between different groups
-    named = rows.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls"))
-    apart = named.groupBy("shingle").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("shingle")
-    open_rows = stage(named.join(stage(apart, "open"), "shingle", "left_semi").select("shingle", "g", "cls", "n", "at"), "open-rows")
-    held = stage(open_rows.select("shingle", "g").distinct(), "open-groups")
-    cross = held.select("shingle", F.col("g").alias("ga")).join(held.select("shingle", F.col("g").alias("gb")), "shingle").where("ga < gb")
-    left = open_rows.select("shingle", F.col("g").alias("ga"), F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
-    right = open_rows.select("shingle", F.col("g").alias("gb"), F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
-    across = cross.join(left, ["shingle", "ga"]).join(right, ["shingle", "gb"])
-    pairs = _near(percent, across.select("a", "a_n", "a_at", "b", "b_n", "b_at"), whole=True)
-    pairs = stage(stage(pairs, "pairs").join(checked, ["a", "b"], "left_anti"), "pairs")
+    # lists that still hold more than one group: pairs between different groups, the shorter
+    # set's shingle in its shorter prefix.  Rows without any partner long enough go first.
+    named = stage(rows.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("g", F.coalesce("component", "cls")).drop("component"), "grouped")
+    lists = named.groupBy("shingle").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min(F.when(F.col("short"), F.col("n"))).alias("least"))
+    lists = stage(lists.where("low != high and least is not null").select("shingle", "least"), "open")
+    reach = F.lit(percent) * (F.col("least") + F.col("n")) <= F.lit(100 + percent) * (F.col("n") - F.col("u"))
+    open_rows = stage(named.join(lists, "shingle").where(F.col("short") | reach).drop("least"), "open-rows")
+    # the largest partner that a row's own shingles leave possible
+    limit = F.floor((F.lit(100 + percent) * (F.col("n") - F.col("u")) - F.lit(percent) * F.col("n")) / percent)
+    held = stage(open_rows.groupBy("shingle", "g").agg(
+        F.count("*").alias("m"), F.max("short").alias("short"), F.min("n").alias("n"), F.max(limit).alias("limit")), "open-groups")
+    side = lambda x: held.select("shingle", *[F.col(c).alias(f"{c}{x}") for c in ("g", "m", "short", "n", "limit")])
+    cross = side("a").join(side("b"), "shingle").where("(ma < mb or (ma = mb and ga < gb)) and (shorta or shortb) and na <= limitb and nb <= limita")
+    cross = cross.select("shingle", "ga", "gb")
+    # the smaller group's rows first; the filters hold while the larger one's are joined
+    across = cross.join(_sides(open_rows, "a", group=True), ["shingle", "ga"]).join(_sides(open_rows, "b", group=True), ["shingle", "gb"])
+    across = across.where("case when a_n < b_n or (a_n = b_n and a < b) then a_short else b_short end")
+    pairs = stage(_near(percent, across, whole=True), "pairs")
+    pairs = stage(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
     return first.unionByName(_verified(pairs, sets, percent))
 
 

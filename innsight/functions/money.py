@@ -86,13 +86,17 @@ def fixed2(c: Column | str) -> Column:
     return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, body))
 
 
+def _or_zero(x: Column) -> Column:
+    """``x or 0``: NULL and both zeros are 0."""
+    return F.when(x.isNull() | (x == 0), F.lit(0.0)).otherwise(x)
+
+
 def money_text(c: Column | str) -> Column:
     """``"$%.2f" % (x or 0)``."""
     x = _c(c).cast("double")
-    return F.concat(F.lit("$"), fixed2(F.coalesce(x, F.lit(0.0))))
+    return F.concat(F.lit("$"), fixed2(_or_zero(x)))
 
 
 def ratio_text(c: Column | str) -> Column:
     """``"%.2f" % (x or 0)``."""
-    x = _c(c).cast("double")
-    return fixed2(F.coalesce(x, F.lit(0.0)))
+    return fixed2(_or_zero(_c(c).cast("double")))

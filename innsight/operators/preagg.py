@@ -56,7 +56,8 @@ def charge_totals(charge: DataFrame) -> DataFrame:
         year_int(when).alias("revenue_year"), month_int(when).alias("revenue_month"),
     ).agg(
         money_sum("cost").alias("revenue"),
-        F.count("cost").alias("n_charges"),
+        F.count("cost").alias("n_charges"),  # costs, for means
+        F.count("*").alias("n_rows"),
     )
 
 

@@ -143,16 +143,16 @@ def revenue_by_charge_type(t: dict[str, DataFrame], totals: DataFrame | None = N
     """
     if totals is not None:
         per_type = totals.groupBy("chargeTypeId").agg(
-            F.sum("revenue").alias("rev"), F.sum("n_charges").alias("n"))
+            F.sum("revenue").alias("rev"), F.sum("n_charges").alias("n"), F.sum("n_rows").alias("rows"))
     else:
         per_type = t["charge"].groupBy("chargeTypeId").agg(
-            money_sum("cost").alias("rev"), F.count("cost").alias("n"))
+            money_sum("cost").alias("rev"), F.count("cost").alias("n"), F.count("*").alias("rows"))
     return (
         per_type.join(t["charge_type"].select("chargeTypeId", F.col("name").alias("charge_type")), "chargeTypeId")
         .select(
             "chargeTypeId", "charge_type",
             to_money(F.col("rev")).alias("total_revenue"),
-            F.col("n").cast("long").alias("num_charges"),
+            F.col("rows").cast("long").alias("num_charges"),
             mean(F.col("rev"), F.col("n")).alias("avg_charge_amount"),
         )
         .orderBy(F.desc_nulls_last("total_revenue"), F.asc_nulls_first("chargeTypeId"))

@@ -105,10 +105,10 @@ task_type AS (
 task AS (
   SELECT CAST(event_id AS BIGINT) AS taskId, CAST(event_id % (SELECT count(*) FROM part) AS BIGINT) AS roomId,
          CAST(user_id AS BIGINT) AS staffId, CAST(event_id % 4 + 1 AS BIGINT) AS taskTypeId
-  FROM events WHERE event_type = 'click' AND user_id % 3 <> 0),
+  FROM events WHERE event_type = 'click'),
 staff_event AS (
   SELECT CAST(user_id AS BIGINT) AS staffId, CAST(event_id AS BIGINT) AS eventId
-  FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0)
+  FROM events WHERE event_type = 'purchase')
 """
 
 # Mapped tables and the CTE that holds each (two names are reserved words or

@@ -241,7 +241,7 @@ class HotelTables(Mapping):
 
     def _t_task(self) -> DataFrame:
         ev = self.src("events")
-        return ev.where((F.col("event_type") == "click") & (F.col("user_id") % 3 != 0)).select(
+        return ev.where(F.col("event_type") == "click").select(
             F.col("event_id").alias("taskId"),
             (F.col("event_id") % self._count("part")).alias("roomId"),
             F.col("user_id").alias("staffId"),
@@ -250,23 +250,14 @@ class HotelTables(Mapping):
 
     def _t_staff_event(self) -> DataFrame:
         ev = self.src("events")
-        return ev.where((F.col("event_type") == "purchase") & (F.col("user_id") % 2 == 0)).select(
+        return ev.where(F.col("event_type") == "purchase").select(
             F.col("user_id").alias("staffId"), F.col("event_id").alias("eventId")
         )
 
 
-_CATALOG: dict[tuple[str, str], HotelTables] = {}
-
-
-def hotel_tables(spark: SparkSession, sf_dir: str, fresh: bool = False) -> HotelTables:
+def hotel_tables(spark: SparkSession, sf_dir: str) -> HotelTables:
     """All mapped hotel tables, keyed by table name, built on first use.
 
-    Memoized per (application, folder), like tables registered once in a
-    catalog: the plans are immutable and re-read the data on every action,
-    but keep the file listing taken when each table was first set up.  Pass
-    ``fresh=True`` after files were added to or removed from the folder.
+    Made anew on every call: a call lists the folder's files as they are then.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if fresh or key not in _CATALOG:
-        _CATALOG[key] = HotelTables(spark, sf_dir)
-    return _CATALOG[key]
+    return HotelTables(spark, sf_dir)

@@ -7,6 +7,8 @@ the Parquet scan and nothing is inferred.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,12 @@ from innsight.sources.schemas import TABLES, schema
 def load(spark: SparkSession, root: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
     """Lazy full-table scans, one ``DataFrame`` per table (A2)."""
     names = tables or list(TABLES)
-    return {t: spark.read.schema(schema(t)).parquet(f"{root.rstrip('/')}/{t}") for t in names}
+    def scan(t: str) -> DataFrame:
+        declared = schema(t)
+        # a load is a folder of its own (see write); its name is not a column of the table
+        return spark.read.schema(declared).parquet(f"{root.rstrip('/')}/{t}").select(*declared.fieldNames())
+
+    return {t: scan(t) for t in names}
 
 
 def _conform(df: DataFrame, table: str) -> list[Column]:
@@ -83,7 +90,8 @@ def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -
     that do not parse become NULL instead of failing the job.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(path)
+        # files whose header differs from the first one's fail instead of being bound by position
+        raw = spark.read.option("header", "true").option("enforceSchema", "false").option("mode", "PERMISSIVE").csv(path)
         return from_text(raw, table)
     if fmt == "parquet":
         return spark.read.parquet(path)
@@ -95,6 +103,17 @@ def ingest(df: DataFrame, table: str) -> DataFrame:
     return apply_defaults(df, table)
 
 
-def write(df: DataFrame, root: str, table: str, mode: str = "append") -> None:
-    """Sink (A5): one Parquet folder per table."""
-    df.write.mode(mode).parquet(f"{root.rstrip('/')}/{table}")
+def write(df: DataFrame, root: str, table: str, mode: str = "append", load_id: str | None = None) -> None:
+    """Sink (A5): one Parquet folder per table, in it one folder per load.
+
+    The one sink of batch and stream: loads of either kind add up, and a load
+    repeated under its ``load_id`` replaces itself.
+    """
+    path = f"{root.rstrip('/')}/{table}"
+    load_id = load_id or uuid.uuid4().hex
+    if mode == "overwrite":
+        df.withColumn("load_id", F.lit(load_id)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("load_id").parquet(path)
+    elif mode == "append":
+        df.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")
+    else:
+        raise ValueError(f"unsupported mode {mode!r}")

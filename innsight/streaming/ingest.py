@@ -10,13 +10,15 @@ what is there and stops, which suits a scheduled batch load.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from innsight.session import staging_dir
 from innsight.sources.schemas import schema
-from innsight.sources.tables import apply_defaults, from_text, text_schema
+from innsight.sources.tables import apply_defaults, from_text, text_schema, write
 
 
 def ingest_files(
@@ -43,7 +45,8 @@ def ingest_files(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        raw = reader.schema(text_schema(table, columns)).option("header", "true").csv(source_dir)
+        # a file whose header is not these columns in this order fails
+        raw = reader.schema(text_schema(table, columns)).option("header", "true").option("enforceSchema", "false").csv(source_dir)
         rows = from_text(raw, table)
     elif fmt == "parquet":
         declared = schema(table)
@@ -52,10 +55,12 @@ def ingest_files(
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     out = apply_defaults(rows, table)
-    ckpt = checkpoint or f"{staging_dir(spark)}/ingest/{table}"
+    # progress belongs to a source and a target; a batch that is tried again replaces itself
+    stream = hashlib.sha256("\n".join([source_dir.rstrip("/"), target_root.rstrip("/"), table]).encode()).hexdigest()[:16]
+    ckpt = checkpoint or f"{staging_dir(spark)}/ingest/{table}-{stream}"
+    run = stream if checkpoint is None else hashlib.sha256(f"{stream}\n{checkpoint}".encode()).hexdigest()[:16]
     writer = (
-        out.writeStream.format("parquet")
-        .option("path", f"{target_root.rstrip('/')}/{table}")
+        out.writeStream.foreachBatch(lambda batch, n: write(batch, target_root, table, load_id=f"{run}-{n}"))
         .option("checkpointLocation", ckpt)
         .outputMode("append")
     )

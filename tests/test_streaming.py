@@ -49,3 +49,38 @@ def test_parquet_ingest_fills_defaults(spark):
     q.awaitTermination(120)
     out = spark.read.parquet(os.path.join(dst, "wing")).orderBy("wingId").collect()
     assert [(r.wingId, r.nearPool, r.nearParking, r.handicapAccessible) for r in out] == [(1, 0, 0, 0), (2, 0, 0, 0)]
+
+
+def _all(spark, dst):
+    from innsight.sources.tables import load
+
+    return sorted(r.chargeId for r in load(spark, dst, ["charge"])["charge"].collect())
+
+
+def test_second_target_second_source_and_batch_rows_add_up(spark):
+    from innsight.sources.tables import apply_defaults, write
+
+    base = tempfile.mkdtemp(prefix="stream-two-", dir="/tmp")
+    a, b, d1, d2 = (os.path.join(base, x) for x in ("a", "b", "d1", "d2"))
+    os.makedirs(a), os.makedirs(b)
+    _csv(os.path.join(a, "x.csv"), [("1", "10", "1", "", "1.00", "2025-01-16 15:00:00")])
+    _csv(os.path.join(b, "y.csv"), [("2", "10", "1", "", "1.00", "2025-01-16 15:00:00")])
+    extra = apply_defaults(spark.createDataFrame([(3, 10, 1, 2.0)], "chargeId long, reservationId long, chargeTypeId long, cost double"), "charge")
+    write(extra, d1, "charge")
+    for src, dst in ((a, d1), (a, d2), (b, d1)):
+        ingest_files(spark, src, "charge", dst, columns=COLS).awaitTermination(120)
+    assert _all(spark, d1) == [1, 2, 3] and _all(spark, d2) == [1]
+    write(extra, d1, "charge")
+    assert _all(spark, d1) == [1, 2, 3, 3]
+
+
+def test_a_header_in_another_order_fails(spark):
+    import pytest
+
+    base = tempfile.mkdtemp(prefix="stream-head-", dir="/tmp")
+    src = os.path.join(base, "src")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("name,hotelId,brand\nSea,7,B\n")
+    with pytest.raises(Exception, match="header|CSV"):
+        ingest_files(spark, src, "hotel", os.path.join(base, "dst")).awaitTermination(120)

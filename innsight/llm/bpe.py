@@ -231,4 +231,5 @@ def decode_ids(encoded: DataFrame, rank_file: str) -> DataFrame:
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
     table = spark.createDataFrame([(pieces,)], "p array<string>").scalar()
-    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda i: F.get(table, i)), "")))
+    bytes_of = _let(F.col("__pieces"), lambda p: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(p, i)), "")))
+    return encoded.select("*", table.alias("__pieces")).select(*encoded.columns, bytes_of.alias("decoded"))

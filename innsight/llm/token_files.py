@@ -125,7 +125,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     """
     spark = docs.sparkSession
     made, kind = token_ids(docs, tokenizer_file, end_id, spaces)
-    staged = stage(made, "token-ids")
+    staged = stage(made, "token-ids", codec="zstd")
     counts = {r.id: r.n for r in id_counts(staged, kind).collect()}  # at most the vocabulary
     ids = sorted(counts, key=lambda i: (-counts[i], i))
     spark.createDataFrame([(r, i, counts[i]) for r, i in enumerate(ids)], "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{path}/ranks")

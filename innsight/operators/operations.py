@@ -66,11 +66,11 @@ def occupancy_by_hotel(t: dict[str, DataFrame], start: str = WINDOW_START, end:
     )
 
 
-def _workload(staff: DataFrame, t: dict[str, DataFrame], literal: bool, restrict: bool = False) -> DataFrame:
+def _workload(staff: DataFrame, t: dict[str, DataFrame], literal: bool) -> DataFrame:
     """Staff rows plus ``num_tasks`` and ``num_events_supported``.
 
-    ``restrict`` semi-joins the detail tables to the given staff first; worth
-    it when ``staff`` is a narrow search result, not for the whole table.
+    The detail tables are counted per staff member before they meet ``staff``,
+    also for a narrow search: a busy staff member is one row per map task.
     """
     if literal:
         keys = staff.columns
@@ -83,10 +83,6 @@ def _workload(staff: DataFrame, t: dict[str, DataFrame], literal: bool, restrict
         )
     task = t["task"].select("staffId", "taskId")
     staff_event = t["staff_event"].select("staffId", "eventId")
-    if restrict:
-        ids = staff.select("staffId")
-        task = task.join(ids, "staffId", "left_semi")
-        staff_event = staff_event.join(ids, "staffId", "left_semi")
     # taskId and (staffId, eventId) are keys, so a row count per staff member
     # is the distinct count; partial counts are taken before the shuffle.
     tasks = task.groupBy("staffId").agg(F.count("taskId").alias("num_tasks"))
@@ -121,7 +117,7 @@ def search_staff(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
         .select("staffId", full_name("firstName", "lastName").alias("staff_name"), "occupation")
     )
     return (
-        _workload(staff, t, literal, restrict=True)
+        _workload(staff, t, literal)
         .select("staffId", "staff_name", "occupation",
                 F.col("num_tasks").cast("long").alias("num_tasks"),
                 F.col("num_events_supported").cast("long").alias("num_events_supported"))

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from innsight.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, not_null_columns
 
@@ -103,10 +104,11 @@ def key_report(t: dict[str, DataFrame], composite: bool | None = None) -> DataFr
              and (composite is None or (len(PRIMARY_KEYS[name]) > 1) == composite)]
     width = max(len(keys) for _, keys in items)
     kcols = [f"k{i}" for i in range(width)]
+    text = any(t[name].schema[k].dataType == StringType() for name, keys in items for k in keys)
     tagged = _union_all([
         t[name].select(
             F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
-            *[(F.col(keys[i]) if i < len(keys) else F.lit(None)).cast("long").alias(kcols[i])
+            *[(F.col(keys[i]) if i < len(keys) else F.lit(None)).cast("string" if text else "long").alias(kcols[i])
               for i in range(width)],
         )
         for name, keys in items

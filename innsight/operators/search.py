@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.money import cents, money_sum, to_money
+from innsight.functions.money import money_sum, to_money
 from innsight.functions.text import contains_ci, full_name, name_matches
 from innsight.functions.timeparts import month_int, month_key_text, year_int, year_month_text
 from innsight.operators.operations import search_staff
@@ -43,18 +43,14 @@ def search_guest(t: dict[str, DataFrame], term: str, literal: bool = False) -> D
                  money_sum("cost").alias("rev"))
         )
     else:
-        ids = matched.select("reservationId")
+        # both sides collapse to one row per reservation where they are read,
+        # so a reservation that holds a large share of them is never moved whole
         stays = (
-            t["stay"].join(ids, "reservationId", "left_semi")
-            .groupBy("reservationId")
+            t["stay"].groupBy("reservationId")
             .agg(F.min("checkInTime").alias("check_in"), F.max("checkoutTime").alias("check_out"),
                  F.count(F.lit(1)).alias("k"))
         )
-        charges = (
-            t["charge"].join(ids, "reservationId", "left_semi")
-            .groupBy("reservationId")
-            .agg(money_sum("cost").alias("revenue"))
-        )
+        charges = t["charge"].groupBy("reservationId").agg(money_sum("cost").alias("revenue"))
         out = (
             matched.join(stays, "reservationId", "left")
             .join(charges, "reservationId", "left")
@@ -93,9 +89,9 @@ def search_hotel(t: dict[str, DataFrame], term: str, literal: bool = False,
     else:
         # k = stays of each reservation in hotels of each matching name; one
         # row per (reservation, name), checked against existing reservations
-        # on this (small) side.  Charges then join it once: a selective term
-        # leaves it small enough to broadcast, so charges are filtered where
-        # they are read and only matching ones reach the aggregation shuffle.
+        # on this (small) side.  Charges meet it as one row per reservation
+        # and month, summed where they are read: a hot reservation is collapsed
+        # before any shuffle.
         hs = (
             t["stay"].select("reservationId", "roomId")
             .join(room_hotels(t, hotels), "roomId")
@@ -107,8 +103,8 @@ def search_hotel(t: dict[str, DataFrame], term: str, literal: bool = False,
         when = F.col("dateTime")
         out = (
             t["charge"]
-            .select("reservationId", year_int(when).alias("y"), month_int(when).alias("m"),
-                    cents("cost").alias("revenue"))
+            .groupBy("reservationId", year_int(when).alias("y"), month_int(when).alias("m"))
+            .agg(money_sum("cost").alias("revenue"))
             .join(hs, "reservationId")
             .groupBy("hotel_name", "y", "m")  # integer keys; text only on result rows
             .agg(F.sum(weighted("revenue", "k")).alias("rev"))

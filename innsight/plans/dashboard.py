@@ -10,7 +10,7 @@ lost executor re-reads finished files instead of re-running the charge scan.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,20 +70,21 @@ def refresh_dashboard(
 ) -> dict[str, str]:
     """Write each dashboard result to ``out_dir/<key>`` as Parquet.
 
-    The shared pre-aggregate is written once to ``stage_dir`` (default: a
-    folder under the session's shared staging folder) and read back.  Returns
-    the written paths by key.
+    The shared pre-aggregate is written once to a folder of this refresh's own
+    under ``stage_dir`` (default: the session's shared staging folder) and read
+    back, so two refreshes at once do not meet.  Returns the written paths by key.
     """
     stage = (stage_dir or f"{staging_dir(spark)}/dashboard_stage").rstrip("/")
-    path = f"{stage}/charge_totals"
+    refresh = uuid.uuid4().hex
+    path = f"{stage}/charge_totals-{refresh}"
     # Bucketed by reservation: the per-reservation aggregations and joins of
     # five results then read it already partitioned instead of shuffling it.
     # The aggregated rows are repartitioned into the buckets first, so each
     # task writes one file per bucket it owns, not one per bucket.  The
     # catalogue entry only carries the bucketing to the readers and is
-    # dropped afterwards; the files stay in the shared staging folder.
+    # dropped afterwards, with the staged files.
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = "innsight_stage_" + hashlib.sha1(path.encode()).hexdigest()[:12]
+    table = f"innsight_stage_{refresh}"
     (charge_totals(t["charge"]).repartition(n, "reservationId")
      .write.mode("overwrite").bucketBy(n, "reservationId").option("path", path).saveAsTable(table))
     try:
@@ -104,5 +105,7 @@ def refresh_dashboard(
             for f in [pool.submit(write, key) for key in results]:
                 f.result()
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: keeps the files
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files are still there
+        staged = spark._jvm.org.apache.hadoop.fs.Path(path)  # this refresh's own
+        staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
     return paths

@@ -8,16 +8,17 @@ cross-engine check; keep the two in step.
 
 Every mapped column is cast to its declared type.  Nothing here collects: the
 two divisors (``count(supplier)``, ``count(part)``, ``count(orders)``) enter as
-scalar subqueries, and room types are numbered with a window over the
-*distinct* ``p_type`` values only (a bounded set: a handful of type names),
-never over ``part`` itself.
+scalar subqueries, and room types are numbered by a digest of their name, so
+no step needs a global order.  Charges and stays are identified by the text of
+four line-item columns (``chargeId`` and ``stayId`` are text here, unlike the
+declared long): no long can hold four keys that grow with the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.sources.schemas import TABLES, schema
@@ -33,6 +34,7 @@ CHARGE_TYPE_NAMES = ["Room Night", "Resort Fee", "Parking", "Restaurant", "Spa"]
 TASK_TYPE_NAMES = ["Clean Room", "Maintenance Request", "Room Service Delivery", "Mini Bar Refill"]
 OCCUPATIONS = ["Front Desk", "Housekeeping", "Maintenance", "Concierge", "Events Manager"]
 
+TEXT_KEYS = ("chargeId", "stayId")
 STAY_NIGHTS = 3  # check-out = check-in + 3 days
 
 
@@ -43,11 +45,14 @@ def _lookup(spark: SparkSession, table: str, names: list[str]) -> DataFrame:
 
 def _line_id() -> F.Column:
     # (l_orderkey, l_linenumber) is not unique in the driver data; these four
-    # columns are, and pack into one long.
-    return (
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000
-        + F.col("l_suppkey")
-    ).cast("long")
+    # columns are.  NULL when one of them is.
+    parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return F.concat(parts[0], *(x for p in parts[1:] for x in (F.lit("-"), p)))
+
+
+def _type_number(name: str) -> F.Column:
+    # 60 bits of the name's MD5: the same in every engine, at any size
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
 class HotelTables(Mapping):
@@ -55,7 +60,8 @@ class HotelTables(Mapping):
 
     A table (and each driver file it reads) is only set up when a query asks
     for it, so a query pays the planning cost of the tables it uses only.
-    Every table is conformed to its declared schema (names, order, types).
+    Every table is conformed to its declared schema (names, order, types),
+    but for the text keys of ``TEXT_KEYS``.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -73,7 +79,7 @@ class HotelTables(Mapping):
         if name not in self._built:
             if name not in self._builders:
                 raise KeyError(name)
-            self._built[name] = apply_defaults(self._builders[name](), name)
+            self._built[name] = apply_defaults(self._builders[name](), name, as_text=TEXT_KEYS)
         return self._built[name]
 
     def __iter__(self):
@@ -132,11 +138,9 @@ class HotelTables(Mapping):
         )
 
     def _t_room_type(self) -> DataFrame:
-        # Distinct type names numbered in name order.  The window runs over
-        # the distinct names only (one row per type name), never over part.
         return (
             self.src("part").select(F.col("p_type").alias("name")).distinct()
-            .select(F.row_number().over(Window.orderBy("name")).alias("roomTypeId"), "name")
+            .select(_type_number("name").alias("roomTypeId"), "name")
         )
 
     def _t_status_type(self) -> DataFrame:
@@ -146,13 +150,10 @@ class HotelTables(Mapping):
         pk = F.col("p_partkey")
         wing_of_room = pk % self._count("supplier")
         return (
-            # a left join on a key unique on the right: Catalyst removes it
-            # from every query that does not use roomTypeId
-            self.src("part").join(self["room_type"].withColumnRenamed("name", "p_type"), "p_type", "left")
-            .select(
+            self.src("part").select(
                 pk.alias("roomId"),
                 wing_of_room.alias("wingId"),
-                "roomTypeId",
+                _type_number("p_type").alias("roomTypeId"),
                 (wing_of_room * 3 + F.col("p_size") % 3).alias("floorId"),
                 (pk % 3 + 1).alias("statusId"),
                 pk.cast("string").alias("roomNumber"),

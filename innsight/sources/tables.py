@@ -8,6 +8,7 @@ the Parquet scan and nothing is inferred.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def load(spark: SparkSession, root: str, tables: list[str] | None = None) -> dic
     return {t: scan(t) for t in names}
 
 
-def _conform(df: DataFrame, table: str) -> list[Column]:
+def _conform(df: DataFrame, table: str, as_text: Collection[str] = ()) -> list[Column]:
     """Select the declared columns by name, in declared order, cast to the
     declared type; fill an absent column with its declared default (or a typed
     NULL).  An explicit NULL that is present stays NULL (B1 reports it)."""
@@ -35,7 +36,9 @@ def _conform(df: DataFrame, table: str) -> list[Column]:
     out = []
     for c in TABLES[table]:
         f = fields.get(c.name.lower())
-        if f is not None and f.name == c.name and f.dataType == c.dtype:
+        if f is not None and c.name in as_text:
+            out.append(F.col(f.name).cast("string").alias(c.name))
+        elif f is not None and f.name == c.name and f.dataType == c.dtype:
             out.append(F.col(f.name))
         elif f is not None:
             out.append(F.col(f.name).cast(c.dtype).alias(c.name))
@@ -44,13 +47,14 @@ def _conform(df: DataFrame, table: str) -> list[Column]:
     return out
 
 
-def apply_defaults(df: DataFrame, table: str) -> DataFrame:
-    """Give ``df`` the declared shape of ``table`` (A4)."""
+def apply_defaults(df: DataFrame, table: str, as_text: Collection[str] = ()) -> DataFrame:
+    """Give ``df`` the declared shape of ``table`` (A4); columns named in
+    ``as_text`` that are there become text instead of their declared type."""
     have = [(f.name, f.dataType) for f in df.schema.fields]
     want = [(c.name, c.dtype) for c in TABLES[table]]
     if have == want:
         return df
-    return df.select(*_conform(df, table))
+    return df.select(*_conform(df, table, as_text))
 
 
 def text_schema(table: str, columns: list[str] | None = None):

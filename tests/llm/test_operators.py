@@ -229,6 +229,43 @@ def test_fingerprints(docs, texts):
     assert iblt.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_of_texts_without_marks(spark, tmp_path_factory):
+    import xxhash
+
+    from innsight.llm import queries
+
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+    made = [" ".join(word("qrstuvwxyz") for _ in range(400)), " ".join(word("бгджзклмн") for _ in range(400)) + ".", "".join(rng.choice("日本語文字列漢学校山川") for _ in range(900)),
+            "".join(rng.choice("ABCDEFGHabcdefgh0123") for _ in range(3000)), "word " * 500, "word " * 250 + "other " * 250, "a few words\nand lines  \n \nwith  gaps", "one", "", None]
+    path = f"{tmp_path_factory.mktemp('marks')}"
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+
+    def parts(t):
+        hashed = lambda w, seed=42: xxhash.xxh64_intdigest(w.encode(), seed)
+        out = set()
+        for line in t.split("\n"):
+            part: tuple = ()
+            words = [(x, fine) for w in line.split(" ") for fine in [len(w) > 32 or any("\u2e80" <= c <= "\ua4cf" for c in w)] for x in (w + " " if fine else [w])]
+            for w, fine in words if line.strip(" ") else []:
+                # Spark's xxhash64 of (c, 1) hashes the number with the character's hash as its seed
+                h = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), hashed(w)) if fine else hashed(w)
+                part += ((w, fine),)
+                if h % 8 == 0 or len(part) == 16:
+                    out.add(part)
+                    part = ()
+            out |= {part} - {()}
+        return out
+
+    got = {r.doc_id: r for r in queries.op10(spark, path).collect()}
+    for i, t in enumerate(made):
+        t, after = t or "", made[(i + 1) % len(made)] or ""
+        a, b, c = parts(t), parts(t[: len(t) - len(t) // 4] + after[: len(t) // 4]), parts(after)
+        near = lambda x, y: 1.0 if not (x or y) else len(x & y) / len(x | y)
+        assert got[i].near_edited == pytest.approx(near(a, b)) and got[i].near_next == pytest.approx(near(a, c))
+    assert all(got[i].near_edited > 0.25 for i in range(6))
+
+
 def test_surrogates(spark, docs, texts):
     rows = [(1, "Mr. John Smith met Mrs Ann Smith; later Mr. Smith. г-н Иван Петров, IP 10.1.2.3 +1 (555) 555-0100 card 4111 1111 1111 1111"),
             (2, "write to Ann.Lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, not bob@mail.example.com, 10.1.2.3"), (3, None), (4, ""), (None, "10.1.2.3"), (2, "10.1.2.3")]

@@ -11,7 +11,9 @@ script.  The same entity gets the same surrogate in every document
 
 Collision checks keep different entities different: of entities with one
 surrogate the first keeps it, as long as it is no entity of the corpus itself;
-the others draw again, until all are settled.
+the others draw again, until all are settled.  Names get longer with the attempts,
+so there are free ones for any number; the other types keep their shape, and if 200
+attempts find none free (``FIXED_ATTEMPTS``), that is an error.
 
 Only texts with an entity are shuffled, cut at their entities; others pass through.
 
@@ -47,6 +49,8 @@ PATTERNS = {
 }
 #: Every alternative needs one of these; most texts have few of them.
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Attempts of a type whose surrogates have as many characters as the entity.
+FIXED_ATTEMPTS = 200
 _SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga ge gi go ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo za ze zi zo ja je ju du".split(),
     "cyrillic": "ба бе би бо да де ди до фа фе фи фо га ге ги го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе пи по ра ре ри ро са се си со та те ти то ва ве ви во за зе зи зо жа же жу ду".split(),
@@ -102,11 +106,12 @@ def _card(value: Column, digest: Column) -> Column:
     return _let(body, lambda b: F.concat(b, F.pmod(_luhn(value) - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
 
-def _name(value: Column, kind: Column, digest: Column) -> Column:
-    """Capitalised syllables; a given name ends by its gender."""
+def _name(value: Column, kind: Column, digest: Column, attempt: Column) -> Column:
+    """Capitalised syllables, three and one more every second attempt; a given name ends by its gender."""
     def of(script: str, male: str, female: str) -> Column:
         table = F.array(*[F.lit(s) for s in _SYLLABLES[script]])
-        stem = F.concat(*[F.get(table, F.pmod(_drawn(digest, F.lit(i)), F.lit(len(_SYLLABLES[script])))) for i in range(3)])
+        each = F.sequence(F.lit(0), F.floor(attempt / 2).cast("int") + 2)
+        stem = F.array_join(F.transform(each, lambda i: F.get(table, F.pmod(_drawn(digest, i), F.lit(len(_SYLLABLES[script]))))), "")
         end = F.when(kind == "given_m", male).when(kind == "given_f", female).otherwise("")
         return F.initcap(F.concat(stem, end))
 
@@ -127,7 +132,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     land = F.substring(value, F.lit(1), F.lit(2))
     return (F.when((kind == "email") & (at > 0), email).when(kind == "token", _hex(value, digest)).when(kind == "ip", octets).when(kind == "card", _card(value, digest))
             .when(kind == "phone", phone).when(kind == "iban", F.concat(land, F.upper(_letters(F.substring(value, F.lit(3), F.length(value)), digest, F.lit(False)))))
-            .when(kind.isin("given_m", "given_f", "given_x", "surname"), _name(value, kind, digest)).otherwise(_letters(value, digest, F.lit(True))))
+            .when(kind.isin("given_m", "given_f", "given_x", "surname"), _name(value, kind, digest, attempt)).otherwise(_letters(value, digest, F.lit(True))))
 
 
 def parts_of(match: Column) -> Column:
@@ -162,7 +167,7 @@ def settled(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
         if pending.isEmpty():
             return done
-        if attempt > 200:
+        if attempt > FIXED_ATTEMPTS and not pending.where(~F.col("kind").isin("given_m", "given_f", "given_x", "surname")).isEmpty():
             raise RuntimeError("surrogates: no free ones are left for some entities")
 
 

@@ -294,6 +294,14 @@ def test_collisions_draw_again(spark):
     assert len(got) == 300 == len(set(said)) and not set(said) & {r.value for r in got}
 
 
+def test_more_names_than_short_surrogates(spark, monkeypatch):
+    # two syllables: eight names of three
+    monkeypatch.setattr(surrogates, "_SYLLABLES", {"latin": ["ba", "do"], "cyrillic": ["ба", "до"]})
+    many = spark.createDataFrame([("surname", f"Smith{chr(97 + i)}") for i in range(20)] + [("given_f", "Анна")], "kind string, value string")
+    got = surrogates.settled(many, "k").collect()
+    assert len(got) == 21 == len({r.surrogate for r in got}) and any(len(r.surrogate) > 6 for r in got if r.kind == "surname")
+
+
 def test_tool_calls(spark):
     kind = "conv_id long, turn long, role string, content string, tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string"
     rows = [(1, 0, "assistant", None, [("a", "search", '{"limit":3,"query":"$b"}'), ("b", "lookup", '{"key":"kk"}'), ("c", "lookup", "[1]"), ("a", "search", "{}")], None),

@@ -15,7 +15,8 @@ of a kind that the page lacks (sidebar, comments, notice, form ...), and with
 its sure tags hidden.  ``FIT_PAGES`` bounds the labelled pages, chosen by hash.
 
 Defined results: NULL or empty html gives the empty text; a page without sure
-markup is decoded like any other; without labelled pages, the weights are
+markup is decoded like any other; a head without an end ends where HTML says
+(at the body, or at what a head cannot hold); without labelled pages, the weights are
 those of a few fixed examples; broken markup is read as far as it goes;
 repeated rows give equal texts; an empty table gives no rows; columns but
 page_id, url and html are not carried.
@@ -46,6 +47,8 @@ _HIDDEN = {"script", "style", "head", "noscript", "template", "iframe", "svg", "
 _EMPTY = set("area base br col embed hr img input link meta source track wbr".split())
 #: A start tag closes these if they are open.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: What a head may hold; anything else ends it.
+_IN_HEAD = set("html head base basefont bgsound link meta title style script noscript noframes template".split())
 _SURE = {"article", "main"}
 _OTHER = {"nav", "footer", "aside", "form", "header", "menu", "button", "dialog"}
 _OTHER_WORDS = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent footer header menu nav navigation newsletter notice pager pagination popup promo related reply respond share sidebar social sponsor sponsored subscribe tags toolbar widget".split())
@@ -92,7 +95,18 @@ class _Blocks(HTMLParser):
             self.links -= tag == "a"
         del self.open[at:]
 
+    def _end_head(self, tag: str) -> None:
+        """Close a head that was left open: at the body, or at what it cannot hold outside of its hidden elements."""
+        at = next((k for k, (name, _) in enumerate(self.open) if name == "head"), None)
+        if at is None:
+            return
+        inside = {name for name, _ in self.open[at + 1 :]}
+        if tag == "body" or (tag not in _IN_HEAD and not inside) or (tag in _BLOCKS and not inside & (_HIDDEN - {"title"})):
+            self._pop(at)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden:
+            self._end_head(tag)
         if tag == "br":
             self.text.append(" ")
         if tag in _BLOCKS:
@@ -128,6 +142,8 @@ class _Blocks(HTMLParser):
                 return  # an inline end tag does not close blocks
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and self.open[-1][0] == "head" and data.strip():
+            self._end_head("")
         if not self.hidden:
             self.text.append(data)
             if self.links:

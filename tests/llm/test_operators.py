@@ -337,6 +337,16 @@ def test_main_text(spark):
     assert crf.extract(pages.limit(0), crf.fit(pages.limit(0))).count() == 0
 
 
+def test_pages_without_the_end_of_their_head():
+    body = '<article><h1>Title</h1><p>First paragraph.</p></article>'
+    want = ["Title", "First paragraph."]
+    heads = ["<head><title>T</title><body>", "<head><title>T</title>", "<head><meta charset=u><style>p {}</style><noscript><p>hide</p></noscript>", "<head><noscript><p>hide</p><body>", "<head><title>T</title></head><body>"]
+    for head in heads:
+        assert [b[0] for b in crf.leaf_blocks(f"<html>{head}{body}</html>")] == want, head
+    assert [b[0] for b in crf.leaf_blocks("<head><title>T</title>Plain <b>text</b>")] == ["Plain text"]
+    assert [b[0] for b in crf.leaf_blocks("<head><title>T</title><a href=x>Link</a>")] == ["Link"]
+
+
 def test_pipeline_rows(spark, tmp_path_factory):
     import corpus_pipeline as C
     from innsight.llm.queries import KEY

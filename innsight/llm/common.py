@@ -51,7 +51,8 @@ def partitions(spark: SparkSession) -> int:
 def with_running_total(df: DataFrame, order: list, weight, out: str, name: str) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all rows before this one in ``order``.
 
-    No task sees all rows: the rows are range-partitioned and staged, so the
+    No task sees all rows: the rows are staged (range partitioning reads its input
+    twice, to find the bounds and to deal it), range-partitioned and staged again, so the
     block of a row is fixed; one sum per block (as many as partitions) gives
     each block's start; a window within the block does the rest.  ``order``
     must be total for a defined result.  Columns named ``__block``, ``__w``
@@ -59,7 +60,7 @@ def with_running_total(df: DataFrame, order: list, weight, out: str, name: str)
     """
     n = partitions(df.sparkSession)
     blocks = stage(
-        df.withColumn("__w", weight).repartitionByRange(n, *order).sortWithinPartitions(*order)
+        stage(df.withColumn("__w", weight), f"{name}-rows").repartitionByRange(n, *order).sortWithinPartitions(*order)
         .withColumn("__block", F.spark_partition_id()), name)
     each = blocks.groupBy("__block").agg(F.sum("__w").alias("__sum"))
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ Near Duplicate Detection", 2008), laid out for Spark:
 1. Documents with equal sets are one class; only classes are joined.
 2. Every shingle goes to a bucket by its hash, as packed arrays (one row per
    slice of documents and bucket).  There its number of classes is counted.
+   A bucket holds some ``BUCKET`` shingles, whatever the input.
    A shingle of one class cannot link anything and ends there; a class of
    which fewer shared shingles are left than the least overlap has no partner.
 3. What is left of a class is ordered rare-first; shingles within its prefix
@@ -18,6 +19,8 @@ Near Duplicate Detection", 2008), laid out for Spark:
    Every pair is verified once, by the exact overlap of its sets.
 5. Connected components of the links.
 
+Components need no link inside a group that is already connected, so those
+are not verified; :func:`jaccard_links` finds every link and counts them per document.
 Links of a class stand for links of all its documents.  Hashes of shingles
 have 64 bits (in buckets 48 and the bucket).
 
@@ -46,6 +49,8 @@ _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))  # fixed v
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 / golden ratio
 #: A shingle that this part of the documents share is ordered after all others.
 COMMON = 64
+#: Shingles of a bucket, some 7 bytes each as they travel and ten times that while a task works on them.
+BUCKET = 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -162,7 +167,8 @@ def _shared(docs: DataFrame, words: int, common: np.ndarray, buckets: int) -> Da
     """Packed rows of the shingles that two or more classes have, dealt by class.
 
     ``level``: the order's first key, the bits of the number of classes
-    (255 for common shingles).  A shingle is kept as 48 bits and its bucket.
+    (255 for common shingles).  A shingle is kept as 48 bits of its quotient by the
+    number of buckets, and its bucket.
     """
     low = np.uint64((1 << 48) - 1)
     m = np.uint64(buckets)
@@ -213,13 +219,14 @@ def _shared(docs: DataFrame, words: int, common: np.ndarray, buckets: int) -> Da
 
 def _candidates(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(cls, n, unique, ranked): classes that can have a partner; shared shingles rare-first, 8 bytes each."""
+    m = np.uint64(buckets)
 
     def assemble(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for (origin, common), some in rows.groupby(["origin", "common"]):
             cls, n, q, level = _unpacked(some)
-            # a name for the shingle: its 48 bits and its bucket; common ones apart
-            name = (q << np.uint64(15)) + np.uint64(origin % 32768) if not common else q | np.uint64(1 << 63)
+            # a name for the shingle from quotient and bucket, below 2**64 for any number of buckets; common ones apart
+            name = q * m + np.uint64(origin) if not common else q | np.uint64(1 << 63)
             parts.append((cls, n, name, level))
         cls, n, name, level = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((name, level, cls))
@@ -353,17 +360,47 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(_verified(pairs, sets, percent))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents joined where ``100 * intersection >= percent * union``."""
+def _every_link(sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between classes: as many rows as the answer has, and what the filters leave beside it."""
+    rows = stage(_prefixes(sets, percent), "prefixes")
+    met = _sides(rows, "a", group=False).join(_sides(rows, "b", group=False), "shingle").where("a < b")
+    # the shorter set's shingle in its shorter prefix: enough for every pair
+    met = met.where("case when a_n < b_n or (a_n = b_n and a < b) then a_short else b_short end")
+    return _verified(stage(_near(percent, met, whole=True), "pairs"), sets, percent)
+
+
+def _classed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id, n_shingles, cls; sets of the classes that can have a partner)."""
     spark = docs.sparkSession
     found = stage(_members(docs, words), "members")
     members = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("cls"))
-    total = members.count()
+    total, shingles = members.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     # at least a 2 * COMMON-th of the documents hold each: at most 2 * COMMON mean set sizes of them
     often = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * COMMON >= max(total, 1)).select("key")
     common = np.sort(np.array([r.key for r in often.collect()], np.int64).view(np.uint64))
-    buckets = min(partitions(spark), 32768)
-    sets = stage(_candidates(_shared(docs, words, common, buckets), percent, buckets), "sets")
+    buckets = max(partitions(spark), -(-shingles // BUCKET))
+    return members, stage(_candidates(_shared(docs, words, common, buckets), percent, buckets), "sets")
+
+
+def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links): every link, between classes of equal sets.
+
+    members: (doc_id, n_shingles, cls, links), a row per document; ``links`` counts the documents of other
+    classes that it links with and the other members of its own.  links: (a, b) with a < b, a row per
+    pair of classes.  Documents of a class link with each other and with all documents of a linked class.
+    """
+    members, sets = _classed(docs, words, percent)
+    links = stage(_every_link(sets, percent), "every-link")
+    sizes = stage(members.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size")), "class-sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes, F.col("b") == F.col("cls")).groupBy("a").agg(F.sum("size").alias("others"))
+    counted = sizes.join(others, F.col("cls") == F.col("a"), "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(counted, "cls", "left").select("doc_id", "n_shingles", "cls", F.coalesce("links", F.lit(0)).alias("links")), links
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents joined where ``100 * intersection >= percent * union``."""
+    members, sets = _classed(docs, words, percent)
     groups = components(_links(sets, percent)).withColumnRenamed("node", "cls")
     # class -> component of classes -> smallest document of the component
     some = members.where("cls is not null").join(groups, "cls", "left")

@@ -173,6 +173,31 @@ def test_jaccard_components(spark, docs, texts):
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_every_jaccard_link_is_counted(spark, monkeypatch):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(2000)]
+    base, rows = [rng.choice(vocab) for _ in range(80)], []
+    for i in range(120):
+        w = list(base) if i % 3 else [rng.choice(vocab) for _ in range(rng.randrange(0, 60))]
+        for _ in range(rng.randrange(0, 5)):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    rows += [(200, rows[1][1]), (201, rows[1][1]), (202, None), (203, "a b"), (204, "A B")]
+    sets = {}
+    for i, t in rows:
+        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(t or "")]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    linked = {(i, j) for i in sets for j in sets if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    monkeypatch.setattr(ngram_join, "BUCKET", 64)  # more buckets than partitions
+    members, links = ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = members.collect()
+    assert {r.doc_id: r.links for r in got} == {i: sum(1 for a, _ in linked if a == i) for i, _ in rows}
+    cls = {r.doc_id: r.cls for r in got}
+    want = {tuple(sorted((cls[i], cls[j]))) for i, j in linked if cls[i] != cls[j]}
+    assert sorted(map(tuple, links.collect())) == sorted(want) and len(want) > 20
+
+
 def test_quality_counts_and_verdicts(spark, docs, texts):
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(80)], "doc_id long, quality int, toxic int")
     got = isolation.quality(docs, labels).collect()

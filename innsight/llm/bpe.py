@@ -1,15 +1,16 @@
 """Byte-level BPE by a rank file, as Spark expressions over the corpus's distinct words.
 
-1. Texts are split by the file's pattern; the distinct words are counted.
-2. Each distinct word is a byte array; ranked merges are folded over it: the
+1. Texts are split by the file's pattern, once; slices of documents are staged as
+   codes of their words.  Words that are pieces need no merge.
+2. Each other distinct word is a byte array; ranked merges are folded over it: the
    leftmost pair of the lowest rank becomes one id, until no pair has a rank.
    The rank map is one constant for all rows, hashed into short lists since a
    lookup in a map scans it.
-3. Ids go back into the texts: the ``HOT`` most frequent words (a bound, not a
-   share of the data) are sent to all executors; words beyond them are folded
-   where they occur, by the same expression.  Nothing is left out at any size.
+3. The word table is joined to the words of the slices; a slice puts its
+   documents together from it.  Nothing is
+   sent to all tasks but the vocabulary, and nothing is left out at any size.
 
-Decoding concatenates the pieces of the ids.
+Decoding concatenates the binary pieces of the ids.
 
 Defined results: a NULL text is the empty text and has no ids; repeated rows
 are encoded alike; an empty table gives no rows; columns but doc_id and text are not carried.
@@ -27,12 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.chunks import chunked, gathered, slices
+from innsight.llm.chunks import chunked, slices
 from innsight.llm.common import stage
 
-#: Frequent words that every executor holds; some 40 bytes each.
-HOT = 1 << 20
+#: Bytes of text of a slice (a longer single text is one).
+SLICE_BYTES = 4 << 20
 _NONE = 1 << 30
+_BITS = 20
 _LISTS = 131_071
 
 
@@ -62,7 +64,7 @@ class RankMap:
             for i in range(1, len(piece)):
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    key = a << 20 | b
+                    key = a << _BITS | b
                     keys[key % _LISTS].append(key)
                     values[key % _LISTS].append(rank)
         made = json.dumps({"b": [ranks[bytes([i])] for i in range(256)], "k": keys, "v": values}, separators=(",", ":"))
@@ -75,152 +77,176 @@ class RankMap:
         return df.select("*", self._one.scalar().alias(self.COLUMN)).select(*df.columns, made.alias(out))
 
 
-def _rank(left: Column, right: Column, m: Column) -> Column:
-    """Rank of the merged pair, or _NONE."""
-    key = F.shiftleft(left.cast("bigint"), 20).bitwiseOR(right.cast("bigint"))
-    at = F.pmod(key, F.lit(_LISTS).cast("bigint")).cast("int")
-    return F.coalesce(F.get(F.get(m.v, at), F.array_position(F.get(m.k, at), key).cast("int") - 1), F.lit(_NONE))
+def _long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
 
 
-def _word_ids(word: Column, m: Column) -> Column:
-    """The fold over the merges of one word, from its bytes."""
-    raw = F.encode(word, "utf-8")
-    single = F.transform(F.sequence(F.lit(1), F.octet_length(word)),
-                         lambda i: F.get(m.b, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")))
-    none = F.array().cast("array<int>")
+def _before(left: Column, right: Column, m: Column) -> Column:
+    """The fold's entry for id ``left`` that stands before ``right``: the rank of their merge, then the id."""
+    key = F.shiftleft(left, _BITS).bitwiseOR(right)
+    at = F.pmod(key, _long(_LISTS)).cast("int")
+    rank = F.get(F.get(m.v, at), F.array_position(F.get(m.k, at), key).cast("int") - 1)
+    return F.coalesce(F.shiftleft(rank.cast("bigint"), _BITS), _long(_NONE << _BITS)).bitwiseOR(left)
 
-    def begin(ids: Column) -> Column:
-        n = F.size(ids) - 1
-        return F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n), lambda a, b: _rank(a, b, m)).alias("pairs"))
 
-    def step(state: Column, _: Column) -> Column:
-        def merge(x: Column) -> Column:
-            ids, pairs, low, at = state.ids, state.pairs, x.low, x.at
-            before = F.when(at > 1, F.array(_rank(F.get(ids, at - 2), low, m))).otherwise(none)
-            after = F.when(at < F.size(pairs), F.array(_rank(low, F.get(ids, at + 1), m))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"))
+def _word_ids(word: Column, m: Column) -> Column:
+    """The fold over the merges of one word, from its bytes.
 
-        def found(x: Column) -> Column:
-            place = F.array_position(state.pairs, x.low).cast("int")
-            return F.when(x.low >= _NONE, state).otherwise(_let(F.struct(x.low.alias("low"), place.alias("at")), merge))
+    An entry holds an id and, above it, the rank of its merge with the next one. Entries of equal rank
+    are equal, so the place of the least entry is the leftmost pair of the lowest rank.
+    """
+    last = lambda i: _long(_NONE << _BITS).bitwiseOR(i)  # noqa: E731  an id before nothing
+    own = lambda entry: entry.bitwiseAND(_long((1 << _BITS) - 1))
+    # one character a byte
+    single = F.transform(F.split(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), ""), lambda c: F.get(m.b, F.ascii(c)).cast("bigint"))
 
-        return _let(F.struct(F.coalesce(F.array_min(state.pairs), F.lit(_NONE)).alias("low")), found)
+    def begin(ids: Column) -> Column:
+        return F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), _before(x, F.get(ids, i + 1), m)).otherwise(last(x)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), _let(single, begin), step, lambda s: s.ids)
+    def step(entries: Column, _: Column) -> Column:
+        def merged(least: Column, at: Column) -> Column:
+            new = F.shiftright(least, _BITS)  # a merge's rank is its id
+            here = F.when(at + 1 < F.size(entries), _before(new, own(F.get(entries, at + 1)), m)).otherwise(last(new))
+            head = F.when(at > 1, F.concat(F.slice(entries, F.lit(1), at - 2), F.array(_before(own(F.get(entries, at - 2)), new, m), here))).otherwise(F.array(here))
+            return F.concat(head, F.slice(entries, at + 2, F.size(entries)))
 
+        def found(least: Column) -> Column:
+            place = F.array_position(entries, least).cast("int")
+            return F.when(least >= _long(_NONE << _BITS), entries).otherwise(_let(place, lambda at: merged(least, at)))
 
-def _words(distinct: pa.Array, pattern) -> tuple[list[str], np.ndarray]:
-    """(words of all chunks one after the other, number of words of each chunk)."""
-    found = [pattern.findall(c) for c in distinct.to_pylist()]
-    return [w for f in found for w in f], np.fromiter(map(len, found), np.int64, len(found))
+        return _let(F.array_min(entries), found)
 
+    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), _let(single, begin), step, lambda e: F.transform(e, lambda x: own(x).cast("int")))
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) over all texts."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+def _words(distinct: pa.Array, pattern) -> tuple[pa.Array, np.ndarray]:
+    """(words of all chunks one after the other, number of words of each chunk).
 
-        split = regex.compile(pattern)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                codes, _, distinct = chunked(part.column("text"), spaces=True)
-                words, each = _words(distinct, split)
-                times = np.repeat(np.bincount(codes, minlength=len(distinct)), each)
-                coded = pa.array(words, pa.string()).dictionary_encode()
-                n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), times, len(coded.dictionary)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n)], ["word", "n"])
-
-    return docs.select("text").mapInArrow(scan, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _frequent(words: DataFrame, most: int) -> DataFrame:
-    """The words of the highest counts, ``most`` at most: all above a cut in the count."""
-    level = F.floor(F.log2("n") * 16).cast("int")
-    levels = sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r[0])  # under 1024 levels
-    total, cut = 0, 1 << 20
-    for r in levels:
-        total += r["count"]
-        if total > most:
-            break
-        cut = r.level
-    return words.where(level >= cut)
-
-
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, digest: bool = False, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>), or with ``digest`` (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    ranks = read_ranks(rank_file)
-    rank_map = RankMap(spark, ranks)
-    words = stage(word_counts(docs, pattern), "words")
-    # a word that is itself a piece is not merged: all such words go out with their rank
-    whole = [(w, r) for w, r in ((p.decode("utf-8", "replace"), r) for p, r in ranks.items()) if w.encode() in ranks and ranks[w.encode()] == r]
-    pieces_as_words = spark.createDataFrame([(w,) for w, _ in whole], "word string")
-    frequent = _frequent(words, hot).join(F.broadcast(pieces_as_words), "word", "left_anti").select("word")
-    table = stage(rank_map.over(frequent, "ids", lambda ids: ids(F.col("word"))), "word-ids").toArrow()  # ``hot`` rows at most
-    listed = [pa.array([[r] for _, r in whole], pa.list_(pa.int32())), *table.column("ids").cast(pa.list_(pa.int32())).chunks]
-    listed = pa.concat_arrays(listed)
-    known = spark.sparkContext.broadcast((
-        pa.concat_arrays([pa.array([w for w, _ in whole], pa.string()), *table.column("word").cast(pa.string()).chunks]),
-        listed.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
-        np.concatenate([[0], np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False))]).astype(np.int64)))
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
+    Letters after one space at most are one word, with the punctuation that ends them two;
+    all other chunks go through the pattern.
+    """
+    simple = pc.match_substring_regex(distinct, r"^ ?\p{L}+[.,;:!?]*$").to_numpy(zero_copy_only=False)
+    at, rest = np.flatnonzero(simple), np.flatnonzero(~simple)
+    whole = distinct.take(pa.array(at))
+    stems = pc.utf8_rtrim(whole, ".,;:!?")
+    ends = pc.binary_length(stems).to_numpy(zero_copy_only=False) < pc.binary_length(whole).to_numpy(zero_copy_only=False)
+    tails = pc.replace_substring_regex(whole.filter(pa.array(ends)), r"(?s)^.*[^.,;:!?]", "")
+    found = [pattern.findall(c) for c in distinct.take(pa.array(rest)).to_pylist()]
+    each = np.zeros(len(distinct), np.int64)
+    each[at], each[rest] = 1 + ends, np.fromiter(map(len, found), np.int64, len(found))
+    first = np.cumsum(each) - each
+    order = np.empty(each.sum(), np.int64)
+    order[first[at]] = np.arange(len(at))
+    order[first[at[ends]] + 1] = len(at) + np.arange(len(tails))
+    other = each[rest]
+    order[np.repeat(first[rest] - (np.cumsum(other) - other), other) + np.arange(other.sum())] = len(at) + len(tails) + np.arange(other.sum())
+    words = pa.concat_arrays([stems, tails, pa.array([w for f in found for w in f], pa.string())])
+    return words.take(pa.array(order)), each
+
+
+def _blocks(docs: DataFrame, pattern: str, pieces: list[str]) -> DataFrame:
+    """One row per slice of documents: their texts as codes of chunks, chunks as codes of words.
+
+    A word code of 0 or more is a place in ``pieces`` (words that are themselves
+    pieces, at most the vocabulary); -1, -2, ... are the slice's own ``words``.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per slice: documents as codes of chunks, chunks as codes of words, and the words not sent out."""
         import regex
+        from pyspark import TaskContext
 
-        cut, hot_words = regex.compile(pattern), known.value[0]
+        cut, whole = regex.compile(pattern), pa.array(pieces, pa.string())
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 codes, rows, distinct = chunked(part.column("text"), spaces=True)
                 words, each = _words(distinct, cut)
-                coded = pa.array(words, pa.string()).dictionary_encode()
-                place = pc.index_in(coded.dictionary, value_set=hot_words)
-                rare = coded.dictionary.filter(pc.is_null(place))
+                coded = words.dictionary_encode()
+                place = pc.index_in(coded.dictionary, value_set=whole)
+                own = coded.dictionary.filter(pc.is_null(place))
                 place = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                place[place < 0] = -1 - np.arange(len(rare))  # -1, -2, ...: the slice's own
+                place[place < 0] = -1 - np.arange(len(own))
                 of_chunk = place[coded.indices.to_numpy(zero_copy_only=False)]
-                raw = [x.astype(t).tobytes() for x, t in ((codes, "<i4"), (rows, "<i8"), (of_chunk, "<i4"), (each, "<i4"))]
+                wide = len(distinct) > 1 << 16
+                raw = [x.astype(t).tobytes() for x, t in ((codes, "<u4" if wide else "<u2"), (rows, "<i8"), (of_chunk, "<i4"), (each, "<i4"))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([rare.to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in raw)],
-                    ["doc_ids", "rare", "codes", "rows", "words", "each"])
+                    [pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, part.num_rows], part.column("doc_id")), pa.ListArray.from_arrays([0, len(own)], own),
+                     pa.array([wide]), *(pa.array([x], pa.binary()) for x in raw)],
+                    ["slice", "doc_ids", "words", "wide", "codes", "rows", "of_chunk", "each"])
+                number += 1
+
+    return docs.mapInArrow(split, "slice bigint, doc_ids array<bigint>, words array<string>, wide boolean, codes binary, rows binary, of_chunk binary, each binary")
+
+
+def _put_together(blocks: DataFrame, made: DataFrame, piece_ids: list[int], pieces: list[bytes], digest: bool) -> DataFrame:
+    """Ids (or digests) of each document of ``blocks``; ``made``: (of_slice, pos, ids) of each of a slice's words.
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``piece_ids`` are the ids of the words that are pieces, ``pieces`` the bytes of every id.
+    """
+
+    def join(block: pa.Table, words_of: pa.Table) -> pa.Table:
         from hashlib import sha256
 
-        _, hot_ids, hot_at = known.value
-        piece_at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                get = lambda c, t: np.frombuffer(batch.column(c)[k].as_py(), t)  # noqa: B023, E731
-                rare = batch.column("rare_ids")[k].values
-                own = rare.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                own_at = np.cumsum(pc.list_value_length(rare).to_numpy(zero_copy_only=False)).astype(np.int64)
-                flat, at = np.concatenate([hot_ids, own]), np.concatenate([hot_at, hot_at[-1] + own_at])
-                words, each = get("words", "<i4").astype(np.int64), get("each", "<i4")
-                words = np.where(words >= 0, words, len(hot_at) - 2 - words)
-                of_chunk, chunk_at = gathered(words, np.concatenate([[0], np.cumsum(each)]), flat, at)
-                ids, ends = gathered(get("codes", "<i4"), get("rows", "<i8"), of_chunk, chunk_at)
-                n = pa.array(np.diff(ends), pa.int64())
-                docs_of = pa.array(batch.column("doc_ids")[k].as_py(), pa.int64())
-                if not digest:
-                    yield pa.RecordBatch.from_arrays([docs_of, n, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "n_tokens", "ids"])
-                    continue
-                text, text_at = gathered(ids, ends, piece_bytes, piece_at)
-                raw = memoryview(ids.astype("<u4")).cast("B") if len(ids) else b""
-                sums = [[sha256(x[a:b]).hexdigest() for a, b in zip(e, e[1:], strict=False)] for x, e in ((raw, 4 * ends), (memoryview(text), text_at))]
-                yield pa.RecordBatch.from_arrays([docs_of, n, *(pa.array(x, pa.string()) for x in sums)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    blocks = docs.mapInArrow(split, "doc_ids array<bigint>, rare array<string>, codes binary, rows binary, words binary, each binary")
-    blocks = rank_map.over(blocks, "rare_ids", lambda ids: F.transform("rare", ids)).drop("rare")
-    return blocks.mapInArrow(join, "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"))
+        sums = lambda x, e: pa.array([sha256(x[a:b]).hexdigest() for a, b in zip(e, e[1:], strict=False)], pa.string())
+        get = lambda c, t: np.frombuffer(block.column(c)[0].as_py(), t)
+        known = pa.array([i.to_bytes(4, "little") for i in piece_ids], pa.large_binary())
+        each = np.concatenate([[0], np.cumsum(get("each", "<i4"))])
+        lists = words_of.sort_by("pos").column("ids").combine_chunks()
+        own = _id_bytes(lists) if len(lists) else pa.array([], pa.large_binary())
+        words = get("of_chunk", "<i4").astype(np.int64)
+        words = pa.array(np.where(words >= 0, words, len(known) - 1 - words))
+        codes = pa.array(get("codes", "<u4" if block.column("wide")[0].as_py() else "<u2"))
+        raw, ends = _texts(_runs(_runs(pa.concat_arrays([known, own]).take(words), each).take(codes), get("rows", "<i8")))
+        ids, n = np.frombuffer(raw, "<u4"), pa.array(np.diff(ends) // 4)
+        docs_of = block.column("doc_ids").combine_chunks().flatten()
+        if not digest:
+            listed = pa.LargeListArray.from_arrays(pa.array(ends // 4), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+            return pa.table([docs_of, n, listed], ["doc_id", "n_tokens", "ids"])
+        # the pieces of the ids, one after the other
+        text = _texts(_runs(pa.array(pieces, pa.large_binary()).take(pa.array(ids)), ends // 4))
+        return pa.table([docs_of, n, sums(raw, ends), sums(*text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    # a group is one slice and its words
+    return blocks.groupBy("slice").cogroup(made.groupBy("of_slice")).applyInArrow(
+        join, "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"))
+
+
+def _id_bytes(lists: pa.ListArray) -> pa.Array:
+    """Lists of ids as little-endian unsigned 32-bit integers."""
+    flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<u4")
+    at = 4 * np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+
+
+def _runs(values: pa.Array, at: np.ndarray) -> pa.Array:
+    """The concatenation of each run of binary values; run i ends where i + 1 begins.  No byte moves."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets[at])), values.buffers()[2] or pa.py_buffer(b"")])
+
+
+def _texts(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """(bytes of all values, first byte of each and the end)."""
+    raw = values.buffers()[2]
+    return memoryview(raw if raw is not None else b""), np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
+
+
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, digest: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>), or with ``digest`` (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    ranks = read_ranks(rank_file)
+    rank_map = RankMap(spark, ranks)
+    # a word that is itself a piece is not merged
+    whole = [(w, r) for w, r in ((p.decode("utf-8", "replace"), r) for p, r in ranks.items()) if ranks.get(w.encode()) == r]
+    blocks = stage(_blocks(docs, pattern, [w for w, _ in whole]), "blocks", codec="zstd")
+    words = blocks.select(F.explode("words").alias("word")).distinct()
+    # each distinct word is folded once
+    folded = stage(rank_map.over(words, "ids", lambda ids: ids(F.col("word"))), "word-ids")
+    made = blocks.select("slice", F.posexplode("words").alias("pos", "word")).join(folded, "word").select(F.col("slice").alias("of_slice"), "pos", "ids")
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return _put_together(blocks.drop("words"), made, [r for _, r in whole], pieces, digest)
 
 
 def decode_ids(encoded: DataFrame, rank_file: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A chunk boundary is only set where every split pattern in use here has one:
 for byte-level patterns before a single space between two characters that are
-not white space (the space stays with what follows), for patterns that drop
-white space at any ASCII white space.  Encoding the chunks one by one then
-gives the ids of the whole text.
+not white space (the space stays with what follows) and on both sides of a single
+line break between two such characters, for patterns that drop
+white space at any ASCII white space; and between a letter or digit and the punctuation that ends
+a chunk.  Encoding the chunks one by one then gives the ids of the whole text.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ import pyarrow.compute as pc
 # U+001C-U+001F, as an RE2 class
 _WS = "\\t-\\r \\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _MARK = "\x00"
+# every pattern in use ends a run of letters or digits before these
+_PUNCTUATION = ".,;:!?"
+_ENDS = rf"[\p{{L}}\p{{N}}][{_PUNCTUATION}]+$"
 
 #: Bytes of text that are worked on at once (a longer single text is worked on alone).
 SLICE_BYTES = 8 << 20
@@ -50,11 +54,13 @@ def _spaced(texts: pa.Array) -> pa.Array:
         whole = pa.ListArray.from_arrays(pa.array(range(len(whole) + 1), pa.int32()), whole)
         place = np.argsort(np.concatenate([np.flatnonzero(~rows), np.flatnonzero(rows)]), kind="stable")
         return pa.concat_arrays([out, whole]).take(pa.array(place))
-    uneven = pc.match_substring_regex(texts, f" [{_WS}]|[{_WS}] ")
-    plain = pc.replace_substring(texts, " ", _MARK + " ")
+    uneven = pc.match_substring_regex(texts, f"^\n|\n$|[ \n][{_WS}]|[{_WS}][ \n]")
+    plain = pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", f"{_MARK}\n{_MARK}")
     if pc.any(uneven).as_py():
-        careful = pc.replace_substring_regex(texts, f"([^{_WS}]) ([^{_WS}])", rf"\1{_MARK} \2")
-        plain = pc.if_else(uneven, careful, plain)
+        rows = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        careful = pc.replace_substring_regex(texts.take(pa.array(rows)), f"([^{_WS}]) ([^{_WS}])", rf"\1{_MARK} \2")
+        careful = pc.replace_substring_regex(careful, f"([^{_WS}{_MARK}])\n([^{_WS}])", f"\\1{_MARK}\n{_MARK}\\2")
+        plain = pc.replace_with_mask(plain, uneven, careful)
     return pc.split_pattern(plain, _MARK)
 
 
@@ -99,7 +105,7 @@ class WordIds:
         # byte-level: a line break is a token of its own before a chunk; else a control character as a word
         self._between = "\n" if spaces else " \x01 "
         self._mark = self._tok.encode(self._between.strip(" "), add_special_tokens=False).ids
-        self._odd = f"[{_WS}\\x{{01}}]" if not spaces else f"^ ?[^{_WS}]*[{_WS}]"
+        self._odd = f"[{_WS}\\x{{01}}]" if not spaces else f"(?s)^.+[{_WS}]|^[{_WS.replace(' ', '')}]|^ $"
         self._joins = len(self._mark) == 1
         self._forget()
 
@@ -115,7 +121,7 @@ class WordIds:
         return cls._made[key, spaces]
 
     def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each word)."""
+        """(ids, number of ids of each word) by the tokenizer."""
         lens = np.zeros(len(words), np.int64)
         odd = pc.match_substring_regex(words, self._odd).to_numpy(zero_copy_only=False) if self._joins else np.ones(len(words), bool)
         odd |= pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
@@ -139,29 +145,44 @@ class WordIds:
             out[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return out, lens
 
-    def __call__(self, words: pa.Array) -> np.ndarray:
-        """Place of each word among the known ones; ``flat[starts[i]:starts[i + 1]]`` are its ids."""
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Place of each distinct word among the known ones; ``flat[starts[i]:starts[i + 1]]`` are its ids."""
         place = pc.index_in(words, value_set=self._words)
-        if place.null_count:
-            if len(self._words) + place.null_count > self._limit:
-                self._forget()
-                place = pc.index_in(words, value_set=self._words)
-            new = words.filter(pc.is_null(place))
-            ids, lens = self._encode(new)
-            first = len(self._words)
-            self._words = pa.concat_arrays([self._words, new])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
-            self.flat = np.concatenate([self.flat, ids])
-            known = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            known[pc.is_null(place).to_numpy(zero_copy_only=False)] = first + np.arange(len(new))
-            return known
-        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+        if place.null_count and len(self._words) + place.null_count > self._limit:
+            self._forget()
+            place = pc.index_in(words, value_set=self._words)
+        if not place.null_count:
+            return place.to_numpy(zero_copy_only=False).astype(np.int64)
+        new = words.filter(pc.is_null(place))
+        ids, lens = self._encode(new)
+        first = len(self._words)
+        self._words = pa.concat_arrays([self._words, new])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
+        self.flat = np.concatenate([self.flat, ids])
+        known = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known[pc.is_null(place).to_numpy(zero_copy_only=False)] = first + np.arange(len(new))
+        return known
+
+    def __call__(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct chunks, first id of each and the end); a word is encoded once, whatever punctuation ends the chunk."""
+        ends = pc.match_substring_regex(chunks, _ENDS).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(ends)
+        whole = chunks.take(pa.array(at))
+        stems = pc.utf8_rtrim(whole, _PUNCTUATION)
+        tails = pc.replace_substring_regex(whole, rf"(?s)^.*[^{_PUNCTUATION}]", "")
+        parts = pa.concat_arrays([pc.replace_with_mask(chunks, pa.array(ends), stems), tails]).dictionary_encode()
+        place = self._places(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)]
+        # each chunk's first part, then its tail
+        first = np.concatenate([[0], np.cumsum(1 + ends)])
+        order = np.empty(len(chunks) + len(at), np.int64)
+        order[first[:-1]], order[first[at] + 1] = place[: len(chunks)], place[len(chunks) :]
+        return gathered(order, first, self.flat, self.starts)
 
 
 def encoded(texts: pa.Array, words: WordIds, spaces: bool, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, first id of each text and the end), ``end_id`` appended to each text."""
     codes, rows, distinct = chunked(texts, spaces)
-    ids, at = gathered(words(distinct)[codes], rows, words.flat, words.starts)
+    ids, at = gathered(codes, rows, *words(distinct))
     if end_id is not None:
         ids = np.insert(ids, at[1:], np.uint32(end_id))
         at = at + np.arange(len(at))

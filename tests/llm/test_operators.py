@@ -80,6 +80,26 @@ def test_token_files_round_trip(spark, docs, texts, tmp_path_factory):
     assert token_files.read_token_files(spark, path + "0").count() == 0
 
 
+def test_chunks_give_the_ids_of_the_whole_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from innsight.llm import chunks
+
+    rng = random.Random(11)
+    bits = ["word", "Été", "x", "42", "7", "it's", "'", ".", ",", "?!", ")", "...", " ", " ", " ", "\n", "\n", "\n\n", "  ", "\t", "\u00a0", "\u3000", "e\u0301", "日本", "\x00", "\x01", "\r\n", "\x85", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        spec = open(P.path(name), encoding="utf-8").read()
+        library = Tokenizer.from_str(spec)
+        library.encode_special_tokens = True
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        words = chunks.WordIds(spec, spaces, limit=500)
+        for k in range(0, len(texts), 300):
+            ids, at = chunks.encoded(pa.array(texts[k : k + 300]), words, spaces, None)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want[k : k + 300]
+
+
 def test_ranks_pack_and_unpack():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 7, 3, 9], np.uint32)
     counts = np.array([5, 0, 1, 3])
@@ -112,15 +132,23 @@ def test_local_search_empties_a_bin_that_best_fit_leaves():
     assert len(better) == 3 and sorted(i for b in better for i in b) == list(range(7))
 
 
-def test_bpe_equals_the_library(docs, texts):
+def test_bpe_equals_the_library(docs, texts, monkeypatch):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for hot in (bpe.HOT, 20):  # all words sent out; nearly all folded where they stand
-        made = bpe.decode_ids(bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, hot=hot), P.path("byte_bpe_multi_50k.tiktoken"))
+    for size in (bpe.SLICE_BYTES, 700):  # a slice a task; a few texts a slice
+        monkeypatch.setattr(bpe, "SLICE_BYTES", size)
+        encoded = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+        made = bpe.decode_ids(encoded, P.path("byte_bpe_multi_50k.tiktoken"))
         key = lambda i, ids, raw: (i is not None, i or 0, ids, raw)
         assert sorted(key(r.doc_id, r.ids, bytes(r.decoded)) for r in made.collect()) == sorted(key(i, enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts)
+        sums = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digest=True).collect()
+        want = []
+        for i, t in texts:
+            ids = np.array(enc.encode_ordinary(t or ""), "<u4")
+            want.append((str(i), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        assert sorted((str(r.doc_id), *r[1:]) for r in sums) == sorted(want)
     assert bpe.encode_documents(docs.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digest=True).count() == 0
 
 

@@ -7,16 +7,19 @@ word whose hash falls in one of ``RESIDUES`` residues, and after ``MOST`` words
 (words that repeat may hold no such hash).  A word is what stands between
 spaces; of scripts without spaces and of runs of over ``RUN`` characters each
 character counts as a word.  Paragraphs (``digests``) are coarser: a line, or
-within a line what ends with a sentence whose last letter is a to e.  A sketch has three tables of cells; each digest goes to one cell of
+within a line what ends with a sentence whose last letter is a to e.  A sketch has two tables of cells; each digest goes to one cell of
 each, which keeps a count, the xor of its digests and the xor of their checks
 (Goodrich and Mitzenmacher 2011; Eppstein et al., "What's the Difference?",
 2011).  The cells of two versions are subtracted; a cell that holds one digest
 gives it up, is peeled from its other cells, and so on.  What is
 recovered are the parts of only one version, and with them the likeness
-(shared digests / all digests).  If cells are left over, the sketches are made
-again with more cells and another seed: for as many digests as the two
-versions hold together, then four times that.  Should that fail too, the digests are
-compared directly.
+(shared digests / all digests).
+
+The fingerprints' own cells first tell how many digests differ: the squares of
+the subtracted counts add up to that number on average (less what the known difference
+of the two sizes adds).  A few are peeled from the fingerprints themselves; for more, both
+versions are sketched again with ``ROOM`` cells for each digest that seems to differ (only those in use
+are kept), and should cells be left over, with twice as many and another seed, until none is.
 
 All of it is Spark expressions over one row; cells are kept sparse and sorted.
 
@@ -34,18 +37,21 @@ from pyspark.sql import functions as F
 
 from innsight.llm.common import partitions, stage, with_running_total
 
-#: Cells of a fingerprint, in three tables.
+#: Cells of a fingerprint, in two tables.
 CELLS = 48
 #: Rounds of peeling; each gives up all single cells at once.
 ROUNDS = 24
+#: Cells for each differing digest: nearly all digests then are single in some cell.
+ROOM = 128
+#: Sketches are made again with twice the cells so many times at most: beyond any text's digests.
+RETRIES = 30
 _BREAK = "\\n|(?<=[a-e][.!?])[ ]"  # a Java pattern
-#: A part ends after a word whose hash is 0 modulo this, or after so many words.
+#: A part ends after a word whose hash is 0 modulo this power of two, or after so many words.
 RESIDUES, MOST = 8, 16
 #: Of longer runs without a space, each character is a word.
 RUN = 32
 # Java patterns.  Fixed values: Thai to Myanmar, Khmer, Han, kana and Yi.
 _UNSPACED = r"[\u0E00-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
-_FINE = rf"(?:^| )[^ ]{{{RUN + 1}}}|{_UNSPACED}"
 
 
 def _let(value: Column, use) -> Column:
@@ -56,17 +62,22 @@ def _let(value: Column, use) -> Column:
 def digests(text: Column) -> Column:
     """The distinct paragraph digests of a text, ascending."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda p: F.trim(p) != "")
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
+    return F.sort_array(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
 
 def _words(line: Column) -> Column:
     """Hashes of a line's words.  Characters that count as words have hashes of their own, the space after them too."""
+    other = lambda x: (F.octet_length(x) != F.length(x)) & x.rlike(_UNSPACED)
+
     def fine(w: Column) -> Column:
         each = F.transform(F.split(F.concat(w, F.lit(" ")), ""), lambda c: F.xxhash64(c, F.lit(1)))
-        return F.when((F.length(w) > RUN) | w.rlike(_UNSPACED), each).otherwise(F.array(F.xxhash64(w)))
+        return F.when((F.length(w) > RUN) | other(w), each).otherwise(F.array(F.xxhash64(w)))
 
-    words = F.split(line, " ")
-    return F.when(line.rlike(_FINE), F.flatten(F.transform(words, fine))).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+    def hashed(words: Column) -> Column:
+        plain = ~F.exists(words, lambda w: F.length(w) > RUN) & ~other(line)
+        return F.when(plain, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.flatten(F.transform(words, fine)))
+
+    return _let(F.split(line, " "), hashed)
 
 
 def part_digests(text: Column) -> Column:
@@ -75,23 +86,28 @@ def part_digests(text: Column) -> Column:
         def cut(first: Column, end: Column) -> Column:
             return F.transform(F.sequence(first, end - 1, F.lit(MOST)), lambda a: F.xxhash64(F.slice(h, a + 1, F.least(F.lit(MOST), end - a))))
 
-        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.pmod(F.get(h, i - 1), F.lit(RESIDUES)) == 0))
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i - 1).bitwiseAND(F.lit(RESIDUES - 1).cast("bigint")) == 0))
         return _let(starts, lambda at: F.flatten(F.transform(at, lambda a, j: _let(F.coalesce(F.get(at, j + 1), F.size(h)), lambda end: cut(a, end)))))
 
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.trim(p) != "")
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(lines, lambda x: _let(_words(x), parts)))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(lines, lambda x: _let(_words(x), parts)))))
 
 
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(3))
 
 
-def _entries(key: Column, count: Column, cells: Column, seed: Column) -> Column:
-    """The digest's entry in each of the three tables."""
-    third = F.floor(cells / 3).cast("int")
-    return F.array(*[
-        F.struct((F.pmod(F.xxhash64(key, seed + j), third) + third * j).cast("int").alias("cell"), count.alias("count"), key.alias("key"), _check(key).alias("check"))
-        for j in range(3)])
+def _entries(keys: Column, count: int, cells: Column, seed: Column) -> Column:
+    """The digests' entries, one in each of the two tables."""
+    def placed(half: Column) -> Column:
+        def of(key: Column) -> Column:
+            entry = lambda x, j: F.struct((F.pmod(F.shiftrightunsigned(x.h, 32 * j), half).cast("int") + half * j).alias("cell"),
+                                          F.lit(count).alias("count"), key.alias("key"), x.check.alias("check"))
+            return _let(F.struct(F.xxhash64(key, seed).alias("h"), _check(key).alias("check")), lambda x: F.array(entry(x, 0), entry(x, 1)))
+
+        return F.flatten(F.transform(keys, of))
+
+    return _let(F.floor(cells / 2).cast("int"), placed)
 
 
 _ENTRY = "struct<cell:int,count:int,key:bigint,check:bigint>"
@@ -99,26 +115,30 @@ _ENTRY = "struct<cell:int,count:int,key:bigint,check:bigint>"
 
 def _added(entries: Column) -> Column:
     """Entries of one cell added up; cells of nothing are gone.  Linear after the sort."""
-    zero = F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("check"))
+    zero = F.struct(F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("check"))
 
     def add(s: Column, e: Column) -> Column:
-        return F.struct(e.cell.alias("cell"), (s["count"] + e["count"]).alias("count"), s.key.bitwiseXOR(e.key).alias("key"), s.check.bitwiseXOR(e.check).alias("check"))
+        return F.struct((s["count"] + e["count"]).alias("count"), s.key.bitwiseXOR(e.key).alias("key"), s.check.bitwiseXOR(e.check).alias("check"))
 
     def runs(e: Column) -> Column:
-        cell = F.transform(e, lambda x: x.cell)
-        starts = _let(cell, lambda c: F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.get(c, i - 1) != F.get(c, i))))
-        return _let(starts, lambda at: F.transform(at, lambda a, j: F.aggregate(F.slice(e, a + 1, F.coalesce(F.get(at, j + 1), F.size(e)) - a), zero, add)))
+        starts = _let(e.cell, lambda c: F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.get(c, i - 1) != F.get(c, i))))
+
+        def total(a: Column, n: Column) -> Column:
+            of = lambda s: F.struct(F.get(e, a).cell.alias("cell"), s["count"].alias("count"), s.key.alias("key"), s.check.alias("check"))
+            return F.when(n == 1, F.get(e, a)).otherwise(F.aggregate(F.slice(e, a + 1, n), zero, add, of))
+
+        return _let(starts, lambda at: F.transform(at, lambda a, j: _let(F.coalesce(F.get(at, j + 1), F.size(e)) - a, lambda n: total(a, n))))
 
     def used(c: Column) -> Column:
         return (c["count"] != 0) | (c.key != 0) | (c.check != 0)
 
     empty = F.array().cast(f"array<{_ENTRY}>")
-    return _let(F.array_sort(entries), lambda e: F.when(F.size(e) == 0, empty).otherwise(F.filter(runs(e), used)))
+    return _let(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, empty).otherwise(F.filter(runs(e), used)))
 
 
 def sketch(keys: Column, cells: Column, seed: Column) -> Column:
     """Cells (sorted, without empty ones) of a set of digests."""
-    return _added(F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(1), cells, seed))))
+    return _added(_entries(keys, 1, cells, seed))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -126,48 +146,81 @@ def subtracted(a: Column, b: Column) -> Column:
     return _added(F.concat(a, minus))
 
 
+def _sum(keys: Column, start: Column) -> Column:
+    """``start``, a struct (key, check), xor all digests and their checks."""
+    return F.aggregate(keys, start, lambda s, k: F.struct(s.key.bitwiseXOR(k).alias("key"), s.check.bitwiseXOR(_check(k)).alias("check")))
+
+
 def peeled(cells: Column, size: Column, seed: Column) -> Column:
-    """struct(found: array of (key, count +1 / -1), left: number of cells that could not be peeled)."""
+    """struct(plus, minus: digests of only the first and only the second version; left: number of cells that could not be peeled)."""
+    none = F.array().cast("array<bigint>")
+    zero = F.lit(0).cast("bigint")
+    # the first table holds every digest once: once its sum is spent, nothing is left
+    whole = F.aggregate(F.filter(cells, lambda c: c.cell < F.floor(size / 2)), F.struct(zero.alias("key"), zero.alias("check")),
+                        lambda s, c: F.struct(s.key.bitwiseXOR(c.key).alias("key"), s.check.bitwiseXOR(c.check).alias("check")))
+
     def single(s: Column) -> Column:
-        pure = F.filter(s.cells, lambda c: (F.abs(c["count"]) == 1) & (c.check == _check(c.key)))
-        return F.array_distinct(F.transform(pure, lambda c: F.struct(c.key.alias("key"), c["count"].alias("count"))))
+        def signed(pure: Column) -> Column:
+            of = lambda n: F.array_distinct(F.transform(F.filter(pure, lambda c: c["count"] == n), lambda c: c.key))
+            return F.struct(of(1).alias("plus"), of(-1).alias("minus"))
+
+        return _let(F.filter(s.cells, lambda c: (F.abs(c["count"]) == 1) & (c.check == _check(c.key))), signed)
 
     def peel(s: Column, _: Column) -> Column:
         def less(new: Column) -> Column:
-            gone = F.flatten(F.transform(new, lambda p: _entries(p.key, -p["count"], size, seed)))
-            return F.struct(_added(F.concat(s.cells, gone)).alias("cells"), F.concat(s.found, new).alias("found"))
+            def rest(unspent: Column) -> Column:
+                cells = F.when((unspent.key == 0) & (unspent.check == 0), F.array().cast(f"array<{_ENTRY}>")).otherwise(
+                    _added(F.concat(s.cells, _entries(new.plus, -1, size, seed), _entries(new.minus, 1, size, seed))))
+                return F.struct(cells.alias("cells"), F.concat(s.plus, new.plus).alias("plus"), F.concat(s.minus, new.minus).alias("minus"),
+                                unspent.alias("unspent"), (F.size(new.plus) + F.size(new.minus) > 0).alias("going"))
+
+            return _let(_sum(new.minus, _sum(new.plus, s.unspent)), rest)
+
+        # a round without a single cell is the last one
+        return F.when(s.going & (F.size(s.cells) > 0), _let(single(s), less)).otherwise(s)
 
-        return F.when(F.size(s.cells) == 0, s).otherwise(_let(single(s), lambda new: F.when(F.size(new) == 0, s).otherwise(less(new))))
+    begin = F.struct(cells.alias("cells"), none.alias("plus"), none.alias("minus"), whole.alias("unspent"), F.lit(True).alias("going"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, peel,
+                       lambda s: F.struct(s.plus.alias("plus"), s.minus.alias("minus"), F.size(s.cells).alias("left")))
 
-    none = F.array().cast("array<struct<key:bigint,count:int>>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), none.alias("found")), peel,
-                       lambda s: F.struct(s.found.alias("found"), F.size(s.cells).alias("left")))
 
+def differing(cells: Column, more: Column) -> Column:
+    """About how many digests differ, from subtracted cells of a fingerprint and the difference of the two numbers of digests."""
+    squares = F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, c: s + c["count"].cast("bigint") * c["count"])
+    # two tables, in each of which a known excess adds its square over the table's cells
+    return F.ceil(F.greatest((squares - 4.0 * more * more / CELLS) / 2, F.abs(more).cast("double"))).cast("int")
 
-def with_difference(rows: DataFrame, a: str, b: str, a_cells: str, b_cells: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: the digests of only one of the versions ``a`` and ``b``, from the
-    sketches, with larger ones where they fail.  Each attempt is a column of its own; it is
-    made only for rows that the one before has left open."""
-    keep = rows.columns
-    done = F.when(F.col("__p.left") == 0, F.col("__p.found"))
-    rows = rows.withColumn("__p", peeled(subtracted(F.col(a_cells), F.col(b_cells)), F.lit(CELLS), F.lit(0))).select(*keep, done.alias(out))
+
+def difference(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
+    """The digests of only one of the versions ``a`` and ``b``: struct(plus, minus)."""
     both = F.size(a) + F.size(b)
-    for factor, seed in ((2, 100), (8, 200)):
-        size, seed = (both * factor + CELLS).cast("int"), F.lit(seed)
-        open_ = F.col(out).isNull()
-        pair = F.when(open_, subtracted(sketch(F.col(a), size, seed), sketch(F.col(b), size, seed)))
-        rows = rows.select(*keep, out, pair.alias("__pair"))
-        rows = rows.select(*keep, out, F.when(open_, peeled(F.col("__pair"), size, seed)).alias("__p"))
-        rows = rows.select(*keep, F.coalesce(out, done).alias(out))
-    direct = F.concat(F.transform(F.array_except(a, b), lambda k: F.struct(k.alias("key"), F.lit(1).alias("count"))),
-                      F.transform(F.array_except(b, a), lambda k: F.struct(k.alias("key"), F.lit(-1).alias("count"))))
-    return rows.select(*keep, F.coalesce(out, direct).alias(out))
+    found = "struct<plus:array<bigint>,minus:array<bigint>>"
+
+    def whole(p: Column) -> Column:
+        return F.when(p.left == 0, F.struct(p.plus.alias("plus"), p.minus.alias("minus")))
+
+    def again(cells: Column) -> Column:
+        def attempt(done: Column, k: Column) -> Column:
+            def made(size: Column) -> Column:
+                # the two sketches, the second one's counts negative: added up, they are subtracted
+                return _let(_added(F.concat(_entries(a, 1, size, k + 100), _entries(b, -1, size, k + 100))), lambda c: _let(peeled(c, size, k + 100), whole))
+
+            size = (F.least(differing(cells, F.size(a) - F.size(b)), both) * float(ROOM) + CELLS) * F.pow(F.lit(2.0), k)
+            return F.when(done.isNotNull(), done).otherwise(_let(F.least(size, F.lit(float(1 << 30))).cast("int"), made))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), F.lit(None).cast(found), attempt)
+
+    def first(cells: Column) -> Column:
+        few = _let(peeled(cells, F.lit(CELLS), F.lit(0)), whole)
+        return F.coalesce(F.when(differing(cells, F.size(a) - F.size(b)) <= CELLS // 4, few), again(cells))
+
+    return F.coalesce(_let(subtracted(a_cells, b_cells), first), F.raise_error(F.lit("sketches could not be peeled")).cast(found))
 
 
 def likeness(a: Column, b: Column, difference: Column) -> Column:
     """Shared digests / all digests, from the numbers of each and of the recovered ones."""
     total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise((total - F.size(difference)) / (total + F.size(difference)))
+    return _let(F.size(difference.plus) + F.size(difference.minus), lambda n: F.when(total == 0, F.lit(1.0)).otherwise((total - n) / (total + n)))
 
 
 def as_text(keys: Column, cells: Column) -> Column:
@@ -176,42 +229,53 @@ def as_text(keys: Column, cells: Column) -> Column:
     return F.concat(F.size(keys).cast("string"), F.lit("/"), F.array_join(each, ","))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document in ascending doc_id, after the last that of the first.
+_LOWEST = -(1 << 63)
+
+
+def with_next(docs: DataFrame, parts: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, text, own, own_cells, next_text, after, after_cells): digests and cells of the text and of
+    the next document's in ascending doc_id, after the last that of the first.
 
-    Exact cut points of doc_id deal the documents into runs; texts move once.
-    A run's last document gets the first one of the next run, of which there
-    are as many as runs.  Equal doc_ids are ordered by text; NULL is lowest.
+    Exact cut points of (doc_id, hash of the text) deal the documents into runs; texts move once, and are sketched
+    where they arrive.  A run's last document gets the first one of the next run, of which there
+    are as many as runs.  NULL counts as the lowest doc_id; rows of one doc_id are ordered by a hash of their text.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is not null")
-    cum = with_running_total(ids, ["doc_id"], F.col("n"), "before", "ids")
+    docs = docs.select("*", F.coalesce("doc_id", F.lit(_LOWEST)).alias("__d"), F.xxhash64("text").alias("__h"))
+    ids = docs.groupBy("__d", "__h").agg(F.count("*").alias("n"))
+    cum = with_running_total(ids, ["__d", "__h"], F.col("n"), "before", "ids")
     total = cum.agg(F.sum("n")).first()[0] or 0
     runs = 4 * partitions(spark)
     cut = F.expr(f"before * {runs} div {max(total, 1)}")
     last = F.expr(f"(before + n) * {runs} div {max(total, 1)}")
-    # a run starts at the first doc_id of its share: at most ``runs`` of them
-    bounds = [r.b for r in cum.where((last > cut)).select(F.col("doc_id").alias("b")).orderBy("b").collect()]
+    # a run starts at the first key of its share: at most ``runs`` of them, and the first of all
+    bounds = cum.where((last > cut) | (F.col("before") == 0)).select("__d", "__h").orderBy("__d", "__h").collect() or [(0, 0)]
+    ds, hs = F.lit([r[0] for r in bounds]), F.lit([r[1] for r in bounds])
+    d, h = F.col("__d"), F.col("__h")
     run = F.lit(0)
-    if bounds:
-        # binary search among the bounds
-        table = F.lit(bounds)
-        def halved(step: int):
-            return lambda low: low + F.when((low + step <= len(bounds)) & (F.get(table, low + (step - 1)) <= F.col("doc_id")), step).otherwise(0)
-
-        for k in range(len(bounds).bit_length() - 1, -1, -1):
-            run = _let(run, halved(1 << k))
-    placed = docs.withColumn("__run", F.coalesce(run, F.lit(0)))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    # binary search among the bounds
+    def further(low: Column, step: int) -> Column:
+        at = low + (step - 1)
+        under = (F.get(ds, at) < d) | ((F.get(ds, at) == d) & (F.get(hs, at) <= h))
+        return low + F.when((at < len(bounds)) & under, step).otherwise(0)
+
+    for k in range(len(bounds).bit_length() - 1, -1, -1):
+        run = _let(run, lambda low: further(low, 1 << k))  # noqa: B023
+    placed = docs.withColumn("__run", run)
+    order = ["__d", "__h", "text"]
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("own", parts(F.col("text"))).withColumn("own_cells", sketch(F.col("own"), F.lit(CELLS), F.lit(0)))
+
     inside = Window.partitionBy("__run").orderBy(*order)
-    led = placed.select("doc_id", "text", "__run", F.lead("text").over(inside).alias("next_text"))
-    firsts = stage(placed.groupBy("__run").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text")).alias("f")).select("__run", "f.text"), "firsts")
-    heads = firsts.withColumn("__to", F.coalesce(F.lag("__run").over(Window.orderBy("__run")), F.lit(-1)))
-    top = heads.agg(F.max("__run")).first()[0]
-    heads = heads.select(F.when(F.col("__to") == -1, F.lit(top)).otherwise(F.col("__to")).alias("__run"), F.col("text").alias("__head"))
-    # one text per run at most
-    return led.join(F.broadcast(heads), "__run", "left").select("doc_id", "text", F.coalesce("next_text", "__head", F.lit("")).alias("next_text"))
+    what = {"next_text": "text", "after": "own", "after_cells": "own_cells"}
+    led = sketched(placed.repartition("__run")).select("*", *[F.lead(c).over(inside).alias(n) for n, c in what.items()])
+    starts = placed.where((F.get(ds, F.col("__run") - 1) == d) & (F.get(hs, F.col("__run") - 1) == h))
+    heads = sketched(stage(starts.groupBy("__run").agg(F.min("text").alias("text")), "firsts"))
+    heads = heads.select(F.when(F.col("__run") == 1, len(bounds)).otherwise(F.col("__run") - 1).alias("__run"), *[F.col(c).alias(f"__{n}") for n, c in what.items()])
+    rows = led.join(heads, "__run", "left")
+    return rows.select("doc_id", "text", "own", "own_cells", *[F.coalesce(n, f"__{n}").alias(n) for n in what])
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -222,15 +286,12 @@ def edited(text: Column, other: Column) -> Column:
 
 def fingerprints(docs: DataFrame, parts: Callable[[Column], Column] = digests) -> DataFrame:
     """doc_id, text, next_text, edited_text, fingerprint, edited_fingerprint, near_edited, near_next; ``parts`` gives a text's digests."""
-    rows = with_next(docs).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    names = {"own": "text", "other": "edited_text", "after": "next_text"}
-    rows = rows.select("*", *[parts(F.col(c)).alias(f"__{k}") for k, c in names.items()])
-    cells = {k: sketch(F.col(f"__{k}"), F.lit(CELLS), F.lit(0)).alias(f"__{k}_cells") for k in names}
-    rows = rows.select("*", *cells.values())
+    rows = with_next(docs, parts).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("other", parts(F.col("edited_text"))).withColumn("other_cells", sketch(F.col("other"), F.lit(CELLS), F.lit(0)))
     col = F.col
-    rows = with_difference(rows, "__own", "__other", "__own_cells", "__other_cells", "__edit")
-    rows = with_difference(rows, "__own", "__after", "__own_cells", "__after_cells", "__step")
-    return rows.select("doc_id", "text", "next_text", "edited_text", as_text(col("__own"), col("__own_cells")).alias("fingerprint"),
-                       as_text(col("__other"), col("__other_cells")).alias("edited_fingerprint"),
-                       likeness(col("__own"), col("__other"), col("__edit")).alias("near_edited"),
-                       likeness(col("__own"), col("__after"), col("__step")).alias("near_next"))
+    rows = rows.withColumn("to_edited", difference(col("own"), col("other"), col("own_cells"), col("other_cells")))
+    rows = rows.withColumn("to_next", difference(col("own"), col("after"), col("own_cells"), col("after_cells")))
+    return rows.select("doc_id", "text", "next_text", "edited_text", as_text(col("own"), col("own_cells")).alias("fingerprint"),
+                       as_text(col("other"), col("other_cells")).alias("edited_fingerprint"),
+                       likeness(col("own"), col("other"), col("to_edited")).alias("near_edited"),
+                       likeness(col("own"), col("after"), col("to_next")).alias("near_next"))

@@ -6,9 +6,9 @@
    leftmost pair of the lowest rank becomes one id, until no pair has a rank.
    The rank map is one constant for all rows, hashed into short lists since a
    lookup in a map scans it.
-3. The word table is joined to the words of the slices; a slice puts its
-   documents together from it.  Nothing is
-   sent to all tasks but the vocabulary, and nothing is left out at any size.
+3. Ids go back into the slices: the ``HOT`` words that most slices have (a bound, not a
+   share of the data) are folded once and sent to all executors; words beyond them are folded
+   where they occur, once a slice, by the same expression.  Nothing is left out at any size.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -25,14 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.llm.chunks import chunked, slices
 from innsight.llm.common import stage
 
+#: Frequent words that every executor holds; some 40 bytes each.
+HOT = 1 << 18
 #: Bytes of text of a slice (a longer single text is one).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 _NONE = 1 << 30
 _BITS = 20
 _LISTS = 131_071
@@ -153,10 +156,8 @@ def _blocks(docs: DataFrame, pattern: str, pieces: list[str]) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
-        from pyspark import TaskContext
 
         cut, whole = regex.compile(pattern), pa.array(pieces, pa.string())
-        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 codes, rows, distinct = chunked(part.column("text"), spaces=True)
@@ -170,45 +171,81 @@ def _blocks(docs: DataFrame, pattern: str, pieces: list[str]) -> DataFrame:
                 wide = len(distinct) > 1 << 16
                 raw = [x.astype(t).tobytes() for x, t in ((codes, "<u4" if wide else "<u2"), (rows, "<i8"), (of_chunk, "<i4"), (each, "<i4"))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, part.num_rows], part.column("doc_id")), pa.ListArray.from_arrays([0, len(own)], own),
-                     pa.array([wide]), *(pa.array([x], pa.binary()) for x in raw)],
-                    ["slice", "doc_ids", "words", "wide", "codes", "rows", "of_chunk", "each"])
-                number += 1
+                    [pa.ListArray.from_arrays([0, part.num_rows], part.column("doc_id")), pa.ListArray.from_arrays([0, len(own)], own), pa.array([wide]), *(pa.array([x], pa.binary()) for x in raw)],
+                    ["doc_ids", "words", "wide", "codes", "rows", "of_chunk", "each"])
 
-    return docs.mapInArrow(split, "slice bigint, doc_ids array<bigint>, words array<string>, wide boolean, codes binary, rows binary, of_chunk binary, each binary")
+    return docs.mapInArrow(split, "doc_ids array<bigint>, words array<string>, wide boolean, codes binary, rows binary, of_chunk binary, each binary")
 
 
-def _put_together(blocks: DataFrame, made: DataFrame, piece_ids: list[int], pieces: list[bytes], digest: bool) -> DataFrame:
-    """Ids (or digests) of each document of ``blocks``; ``made``: (of_slice, pos, ids) of each of a slice's words.
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """(word) of the highest counts in (word, n), ``most`` at most: all above a cut in the count."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    levels = sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r[0])  # under 1024 levels
+    total, cut = 0, 1 << 20
+    for r in levels:
+        total += r["count"]
+        if total > most:
+            break
+        cut = r.level
+    return words.where(level >= cut).select("word")
+
+
+def _known_apart(blocks: DataFrame, known: Broadcast) -> DataFrame:
+    """``blocks`` with ``words`` that were not sent out only; ``place`` says of each former one where it is (-1, -2, ...: in ``words``)."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = known.value[0]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                words = row.column("words").flatten()
+                place = pc.index_in(words, value_set=sent)
+                rest = words.filter(pc.is_null(place))
+                place = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                place[place < 0] = -1 - np.arange(len(rest))
+                row = row.set_column(row.schema.get_field_index("words"), "words", pa.ListArray.from_arrays([0, len(rest)], rest))
+                yield row.append_column("place", pa.array([place.astype("<i4").tobytes()], pa.binary()))
+
+    return blocks.mapInArrow(part, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema) + ", place binary")
+
+
+def _put_together(blocks: DataFrame, known: Broadcast, piece_ids: list[int], pieces: list[bytes], digest: bool) -> DataFrame:
+    """Ids (or digests) of each document of ``blocks`` with ``ids``: those of each of its ``words``.
 
     ``piece_ids`` are the ids of the words that are pieces, ``pieces`` the bytes of every id.
     """
 
-    def join(block: pa.Table, words_of: pa.Table) -> pa.Table:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         sums = lambda x, e: pa.array([sha256(x[a:b]).hexdigest() for a, b in zip(e, e[1:], strict=False)], pa.string())
-        get = lambda c, t: np.frombuffer(block.column(c)[0].as_py(), t)
-        known = pa.array([i.to_bytes(4, "little") for i in piece_ids], pa.large_binary())
-        each = np.concatenate([[0], np.cumsum(get("each", "<i4"))])
-        lists = words_of.sort_by("pos").column("ids").combine_chunks()
-        own = _id_bytes(lists) if len(lists) else pa.array([], pa.large_binary())
-        words = get("of_chunk", "<i4").astype(np.int64)
-        words = pa.array(np.where(words >= 0, words, len(known) - 1 - words))
-        codes = pa.array(get("codes", "<u4" if block.column("wide")[0].as_py() else "<u2"))
-        raw, ends = _texts(_runs(_runs(pa.concat_arrays([known, own]).take(words), each).take(codes), get("rows", "<i8")))
-        ids, n = np.frombuffer(raw, "<u4"), pa.array(np.diff(ends) // 4)
-        docs_of = block.column("doc_ids").combine_chunks().flatten()
-        if not digest:
-            listed = pa.LargeListArray.from_arrays(pa.array(ends // 4), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
-            return pa.table([docs_of, n, listed], ["doc_id", "n_tokens", "ids"])
-        # the pieces of the ids, one after the other
-        text = _texts(_runs(pa.array(pieces, pa.large_binary()).take(pa.array(ids)), ends // 4))
-        return pa.table([docs_of, n, sums(raw, ends), sums(*text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    # a group is one slice and its words
-    return blocks.groupBy("slice").cogroup(made.groupBy("of_slice")).applyInArrow(
-        join, "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"))
+        base = pa.concat_arrays([pa.array([i.to_bytes(4, "little") for i in piece_ids], pa.large_binary()), known.value[1]])
+        bytes_of = pa.array(pieces, pa.large_binary())
+        for batch in batches:
+            for k in range(batch.num_rows):
+                get = lambda c, t: np.frombuffer(batch.column(c)[k].as_py(), t)  # noqa: B023, E731
+                each = np.concatenate([[0], np.cumsum(get("each", "<i4"))])
+                own = batch.column("ids")[k].values
+                own = _id_bytes(own) if own is not None and len(own) else pa.array([], pa.large_binary())
+                # pieces, then words that were sent out, then the slice's own
+                place = get("place", "<i4").astype(np.int64)
+                place = np.where(place >= 0, len(piece_ids) + place, len(base) - 1 - place)
+                words = get("of_chunk", "<i4").astype(np.int64)
+                mine = words < 0
+                words[mine] = place[-1 - words[mine]]
+                codes = pa.array(get("codes", "<u4" if batch.column("wide")[k].as_py() else "<u2"))
+                raw, ends = _texts(_runs(_runs(pa.concat_arrays([base, own]).take(pa.array(words)), each).take(codes), get("rows", "<i8")))
+                ids, n = np.frombuffer(raw, "<u4"), pa.array(np.diff(ends) // 4)
+                docs_of = batch.column("doc_ids")[k].values
+                if not digest:
+                    listed = pa.LargeListArray.from_arrays(pa.array(ends // 4), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([docs_of, n, listed], ["doc_id", "n_tokens", "ids"])
+                    continue
+                # the pieces of the ids, one after the other
+                text = _texts(_runs(bytes_of.take(pa.array(ids)), ends // 4))
+                yield pa.RecordBatch.from_arrays([docs_of, n, sums(raw, ends), sums(*text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return blocks.mapInArrow(join, "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"))
 
 
 def _id_bytes(lists: pa.ListArray) -> pa.Array:
@@ -230,7 +267,7 @@ def _texts(values: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(raw if raw is not None else b""), np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
 
 
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, digest: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, digest: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>), or with ``digest`` (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
@@ -239,14 +276,18 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, digest: bool
     # a word that is itself a piece is not merged
     whole = [(w, r) for w, r in ((p.decode("utf-8", "replace"), r) for p, r in ranks.items()) if ranks.get(w.encode()) == r]
     blocks = stage(_blocks(docs, pattern, [w for w, _ in whole]), "blocks", codec="zstd")
-    words = blocks.select(F.explode("words").alias("word")).distinct()
-    # each distinct word is folded once
-    folded = stage(rank_map.over(words, "ids", lambda ids: ids(F.col("word"))), "word-ids")
-    made = blocks.select("slice", F.posexplode("words").alias("pos", "word")).join(folded, "word").select(F.col("slice").alias("of_slice"), "pos", "ids")
+    counts = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # a word of one slice is folded once, there
+    frequent = _frequent(stage(counts.where("n > 1"), "words"), hot)
+    table = stage(rank_map.over(frequent, "ids", lambda ids: ids(F.col("word"))), "word-ids").toArrow()  # ``hot`` rows at most
+    known = spark.sparkContext.broadcast((
+        pa.concat_arrays([pa.array([], pa.string()), *table.column("word").cast(pa.string()).chunks]),
+        pa.concat_arrays([pa.array([], pa.large_binary()), *(_id_bytes(c) for c in table.column("ids").chunks if len(c))])))
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return _put_together(blocks.drop("words"), made, [r for _, r in whole], pieces, digest)
+    rest = rank_map.over(_known_apart(blocks, known), "ids", lambda ids: F.transform("words", ids)).drop("words")
+    return _put_together(rest, known, [r for _, r in whole], pieces, digest)
 
 
 def decode_ids(encoded: DataFrame, rank_file: str) -> DataFrame:

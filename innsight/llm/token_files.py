@@ -75,58 +75,56 @@ def unpack_ranks(counts: np.ndarray, control: np.ndarray, data: np.ndarray) -> n
     return out
 
 
+#: Bytes of text that are encoded at once; fewer, larger slices look up fewer words.
+SLICE_BYTES = 16 << 20
+
+
 def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int, spaces: bool) -> tuple[DataFrame, str]:
-    """((doc_id, n_tokens, ids binary), numpy type of an id): two bytes an id where the vocabulary allows, else four."""
+    """((kind, doc_id, n_tokens, ids binary), numpy type of an id): two bytes an id where the vocabulary allows, else four.
+
+    Rows of kind 0 are documents; kind 1: (id as doc_id, its occurrences in one task as n_tokens).
+    """
     from tokenizers import Tokenizer
 
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
     kind = "<u2" if max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    names = ["kind", "doc_id", "n_tokens", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(tokenizer_file, spec, spaces)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 flat, at = encoded(part.column("text"), words, spaces, end_id)
+                more = np.bincount(flat, minlength=len(total))
+                more[: len(total)] += total
+                total = more
                 raw = flat.astype(kind).tobytes()
                 at_byte = at * int(kind[-1])
                 ids = pa.array([raw[a:b] for a, b in zip(at_byte, at_byte[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), part.column("doc_id"), pa.array(np.diff(at), pa.int64()), ids], names)
+        found = np.flatnonzero(total)  # at most the vocabulary
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found, pa.int64()), pa.array(total[found], pa.int64()), pa.nulls(len(found), pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, "doc_id bigint, n_tokens bigint, ids binary"), kind
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, "kind int, doc_id bigint, n_tokens bigint, ids binary"), kind
 
 
 def _joined(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def id_counts(ids: DataFrame, kind: str) -> DataFrame:
-    """(id, n): occurrences of each id; one partial row per task and id."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for part in slices(batch, "ids"):
-                more = np.bincount(_joined(part.column("ids"), kind), minlength=len(total))
-                more[: len(total)] += total
-                total = more
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
-
-    partial = ids.select("ids").mapInArrow(count, "id bigint, n bigint")
-    return partial.groupBy("id").agg(F.sum("n").alias("n"))
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, spaces: bool = True) -> None:
     """Encode ``text`` of (doc_id, text), append ``end_id``, write ``path``/docs and ``path``/ranks.
 
     ``spaces``: whether the tokenizer keeps white space (byte-level) or drops it.
-    The ids are staged once: counted, then put in order and coded.
+    The ids are staged once, with their counts, then put in order and coded.
     """
     spark = docs.sparkSession
     made, kind = token_ids(docs, tokenizer_file, end_id, spaces)
     staged = stage(made, "token-ids", codec="zstd")
-    counts = {r.id: r.n for r in id_counts(staged, kind).collect()}  # at most the vocabulary
+    found = staged.where("kind = 1").groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_tokens").alias("n"))
+    counts = {r.id: r.n for r in found.collect()}  # at most the vocabulary
     ids = sorted(counts, key=lambda i: (-counts[i], i))
     spark.createDataFrame([(r, i, counts[i]) for r, i in enumerate(ids)], "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(ids, default=0) + 1, np.uint32)
@@ -140,7 +138,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
                     [part.column("doc_id"), part.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     ["doc_id", "n_tokens", "control", "data"])
 
-    ordered = staged.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    ordered = staged.where("kind = 0").drop("kind").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
     (ordered.mapInArrow(code, "doc_id bigint, n_tokens bigint, control binary, data binary")
      .write.option("compression", "none").parquet(f"{path}/docs"))
 

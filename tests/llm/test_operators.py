@@ -137,13 +137,13 @@ def test_bpe_equals_the_library(docs, texts, monkeypatch):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for size in (bpe.SLICE_BYTES, 700):  # a slice a task; a few texts a slice
+    for size, hot in ((bpe.SLICE_BYTES, bpe.HOT), (700, bpe.HOT), (700, 20)):  # a slice a task; a few texts a slice; nearly all folded where they stand
         monkeypatch.setattr(bpe, "SLICE_BYTES", size)
-        encoded = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+        encoded = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, hot=hot)
         made = bpe.decode_ids(encoded, P.path("byte_bpe_multi_50k.tiktoken"))
         key = lambda i, ids, raw: (i is not None, i or 0, ids, raw)
         assert sorted(key(r.doc_id, r.ids, bytes(r.decoded)) for r in made.collect()) == sorted(key(i, enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts)
-        sums = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digest=True).collect()
+        sums = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digest=True, hot=hot).collect()
         want = []
         for i, t in texts:
             ids = np.array(enc.encode_ordinary(t or ""), "<u4")

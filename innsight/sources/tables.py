@@ -1,8 +1,9 @@
 """Scan, ingest and sink for the declared tables (A2-A5).
 
-Tables live as one Parquet folder per table under a root directory.  Reads
-always pass the declared schema, so column pruning and filter pushdown reach
-the Parquet scan and nothing is inferred.
+Tables live as one Parquet folder per table under a root directory, in it one
+folder per load; the load ledger (:mod:`innsight.sources.ledger`) says which
+loads count.  Reads always pass the declared schema, so column pruning and
+filter pushdown reach the Parquet scan and nothing is inferred.
 """
 
 from __future__ import annotations
@@ -14,16 +15,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.functions.timeparts import parse_datetime
+from innsight.sources import ledger
 from innsight.sources.schemas import TABLES, schema
 
 
 def load(spark: SparkSession, root: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
-    """Lazy full-table scans, one ``DataFrame`` per table (A2)."""
+    """Lazy full-table scans, one ``DataFrame`` per table (A2): the committed loads, and
+    Parquet files that lie at the table's root."""
     names = tables or list(TABLES)
+
     def scan(t: str) -> DataFrame:
         declared = schema(t)
-        # a load is a folder of its own (see write); its name is not a column of the table
-        return spark.read.schema(declared).parquet(f"{root.rstrip('/')}/{t}").select(*declared.fieldNames())
+        paths = ledger.committed_paths(spark, root, t)
+        if not paths:  # a ledger without a load
+            return spark.createDataFrame([], declared)
+        # a load's folder name is not a column of the table
+        return spark.read.schema(declared).parquet(*paths).select(*declared.fieldNames())
 
     return {t: scan(t) for t in names}
 
@@ -107,17 +114,32 @@ def ingest(df: DataFrame, table: str) -> DataFrame:
     return apply_defaults(df, table)
 
 
-def write(df: DataFrame, root: str, table: str, mode: str = "append", load_id: str | None = None) -> None:
-    """Sink (A5): one Parquet folder per table, in it one folder per load.
+def write(df: DataFrame, root: str, table: str, mode: str = "append", load_id: str | None = None, files: DataFrame | None = None) -> None:
+    """Sink (A5): one Parquet folder per table, in it one folder per load, entered in the ledger once it is whole.
 
     The one sink of batch and stream: loads of either kind add up, and a load
-    repeated under its ``load_id`` replaces itself.
+    repeated under its ``load_id`` replaces itself.  Mode ``overwrite`` replaces
+    all earlier loads at once for readers; their files stay until they are removed.
+    ``files``: the source files (path, length, modified) that the load takes in.
     """
-    path = f"{root.rstrip('/')}/{table}"
-    load_id = load_id or uuid.uuid4().hex
-    if mode == "overwrite":
-        df.withColumn("load_id", F.lit(load_id)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("load_id").parquet(path)
-    elif mode == "append":
-        df.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")
-    else:
+    if mode not in ("append", "overwrite"):
         raise ValueError(f"unsupported mode {mode!r}")
+    spark = df.sparkSession
+    load_id = load_id or uuid.uuid4().hex
+    ledger.open_ledger(spark, root, table)
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{table}/load_id={load_id}")
+    ledger.commit(spark, root, table, load_id, files, replaces=mode == "overwrite")
+
+
+def unparsed(raw: DataFrame, table: str) -> Column:
+    """Names of the columns of text rows that hold something that is not of their declared type."""
+    parsed = {f.name: f for f in schema(table).fields}
+    bad = []
+    for c in raw.columns:
+        name = next((x for x in parsed if x.lower() == c.lower()), None)
+        if name is None or parsed[name].dataType.typeName() == "string":
+            continue
+        kind = parsed[name].dataType
+        value = parse_datetime(F.col(c)) if kind.typeName() == "timestamp_ntz" else F.expr(f"try_cast(`{c}` AS {kind.simpleString()})")
+        bad.append(F.when(F.col(c).isNotNull() & value.isNull(), F.lit(name)))
+    return F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")

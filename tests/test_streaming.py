@@ -84,3 +84,95 @@ def test_a_header_in_another_order_fails(spark):
         f.write("name,hotelId,brand\nSea,7,B\n")
     with pytest.raises(Exception, match="header|CSV"):
         ingest_files(spark, src, "hotel", os.path.join(base, "dst")).awaitTermination(120)
+
+
+def _load_again(spark, src, dst, **how):
+    ingest_files(spark, src, "charge", dst, columns=COLS, **how).awaitTermination(120)
+
+
+def test_a_new_application_loads_only_what_is_new(spark):
+    """Without a checkpoint of the earlier application: every row once, also after the source was archived."""
+    base = tempfile.mkdtemp(prefix="stream-app-", dir="/tmp")
+    src, later, dst = (os.path.join(base, x) for x in ("src", "later", "dst"))
+    os.makedirs(src), os.makedirs(later)
+    row = lambda i: (str(i), "10", "1", "", "1.00", "2025-01-16 15:00:00")
+    _csv(os.path.join(src, "a.csv"), [row(1)])
+    _load_again(spark, src, dst, checkpoint=os.path.join(base, "c1"))
+    _csv(os.path.join(src, "b.csv"), [row(2)])
+    _load_again(spark, src, dst, checkpoint=os.path.join(base, "c1"))
+    assert _all(spark, dst) == [1, 2]
+    _load_again(spark, src, dst, checkpoint=os.path.join(base, "c2"))  # another application, nothing new
+    assert _all(spark, dst) == [1, 2]
+    _csv(os.path.join(later, "c.csv"), [row(3)])  # the archive keeps a and b; only row 3 is there now
+    _load_again(spark, later, dst, checkpoint=os.path.join(base, "c3"))
+    assert _all(spark, dst) == [1, 2, 3]
+    _load_again(spark, src, dst)  # the default folder beside the tables
+    _load_again(spark, src, dst)
+    assert _all(spark, dst) == [1, 2, 3]
+
+
+def test_a_load_that_died_before_its_commit_is_not_seen(spark, monkeypatch):
+    import pytest
+
+    from innsight.sources import ledger
+
+    base = tempfile.mkdtemp(prefix="stream-died-", dir="/tmp")
+    src, dst = os.path.join(base, "src"), os.path.join(base, "dst")
+    os.makedirs(src)
+    _csv(os.path.join(src, "a.csv"), [("1", "10", "1", "", "1.00", "2025-01-16 15:00:00")])
+    whole = ledger.commit
+
+    def dies(*args, **kw):
+        raise RuntimeError("lost before the commit")
+
+    monkeypatch.setattr(ledger, "commit", dies)
+    with pytest.raises(Exception, match="lost before"):
+        _load_again(spark, src, dst, checkpoint=os.path.join(base, "c1"))
+    assert _all(spark, dst) == []
+    monkeypatch.setattr(ledger, "commit", whole)
+    _load_again(spark, src, dst, checkpoint=os.path.join(base, "c2"))
+    assert _all(spark, dst) == [1]
+
+
+def test_rows_at_the_root_of_a_table_stay(spark):
+    from innsight.sources.tables import apply_defaults, load, write
+
+    base = tempfile.mkdtemp(prefix="root-rows-", dir="/tmp")
+    make = lambda i: apply_defaults(spark.createDataFrame([(i, 2, "North")], "wingId long, buildingId long, name string"), "wing")
+    wings = lambda: sorted(r.wingId for r in load(spark, base, ["wing"])["wing"].collect())
+    make(1).write.parquet(os.path.join(base, "wing"))
+    assert wings() == [1]
+    write(make(2), base, "wing")
+    write(make(3), base, "wing", load_id="three")
+    write(make(4), base, "wing", load_id="three")  # a load tried again
+    assert wings() == [1, 2, 4]
+    write(make(5), base, "wing", mode="overwrite")
+    assert wings() == [5]
+    write(make(6), base, "wing")
+    assert wings() == [5, 6]
+
+
+def test_loads_from_before_the_ledger_are_entered(spark):
+    from innsight.sources.tables import apply_defaults, load, write
+
+    base = tempfile.mkdtemp(prefix="old-loads-", dir="/tmp")
+    make = lambda i: apply_defaults(spark.createDataFrame([(i, 2, "North")], "wingId long, buildingId long, name string"), "wing")
+    make(1).write.parquet(os.path.join(base, "wing", "load_id=old"))
+    write(make(2), base, "wing")
+    assert sorted(r.wingId for r in load(spark, base, ["wing"])["wing"].collect()) == [1, 2]
+
+
+def test_rows_that_do_not_parse_are_set_aside(spark):
+    import json
+
+    from innsight.streaming.ingest import rejected
+
+    base = tempfile.mkdtemp(prefix="rejects-", dir="/tmp")
+    src, dst = os.path.join(base, "src"), os.path.join(base, "dst")
+    os.makedirs(src)
+    _csv(os.path.join(src, "a.csv"), [("1", "10", "1", "", "1.00", "2025-01-16 15:00:00"), ("2", "x", "1", "", "1.00", "bad date"), ("3", "10", "1", "", "", "2025-01-16 15:00:00")])
+    _load_again(spark, src, dst, rejects=True)
+    _load_again(spark, src, dst, rejects=True, checkpoint=os.path.join(base, "again"))
+    assert _all(spark, dst) == [1, 3]
+    (bad,) = rejected(spark, dst, "charge").collect()
+    assert sorted(bad.reason) == ["dateTime", "reservationId"] and json.loads(bad.row)["chargeId"] == "2" and bad.path.endswith("a.csv")

@@ -122,3 +122,32 @@ def room_buildings(t: dict[str, DataFrame]) -> DataFrame:
 def weighted(revenue: str, k: str) -> F.Column:
     """``revenue * k``: cents times the fan-out of the reservation."""
     return F.col(revenue) * F.col(k)
+
+
+#: Columns that a stored stay may carry beside its declared ones (``sources.bucketed``): what its room leads to.
+PLACE = {"stayHotelId": "hotelId", "stayRoomTypeId": "roomTypeId"}
+
+
+def stay_hotels(t: dict[str, DataFrame], hotels: DataFrame | None = None) -> DataFrame:
+    """``reservationId`` of every stay and ``hotelId`` (or the columns of ``hotels``) of its room."""
+    stay = t["stay"]
+    if "stayHotelId" not in stay.columns:
+        return stay.select("reservationId", "roomId").join(room_hotels(t, hotels), "roomId").drop("roomId")
+    placed = stay.where(F.col("stayHotelId").isNotNull()).select("reservationId", F.col("stayHotelId").alias("hotelId"))
+    return placed if hotels is None else placed.join(hotels, "hotelId")
+
+
+def stay_room_types(t: dict[str, DataFrame]) -> DataFrame:
+    """``reservationId`` of every stay and ``roomTypeId`` of its room."""
+    stay = t["stay"]
+    if "stayRoomTypeId" not in stay.columns:
+        return stay.select("reservationId", "roomId").join(t["room"].select("roomId", "roomTypeId"), "roomId").drop("roomId")
+    return stay.where(F.col("stayRoomTypeId").isNotNull()).select("reservationId", F.col("stayRoomTypeId").alias("roomTypeId"))
+
+
+def placed_stays(t: dict[str, DataFrame]) -> DataFrame:
+    """The stays with the columns of :data:`PLACE`: NULL where the room, or a step from it to its hotel, is not there."""
+    hotels = room_hotels(t).select(F.col("roomId").alias("__h"), F.col("hotelId").alias("stayHotelId"))
+    types = t["room"].select(F.col("roomId").alias("__r"), F.col("roomTypeId").alias("stayRoomTypeId"))
+    return (t["stay"].join(hotels, F.col("roomId") == F.col("__h"), "left")
+            .join(types, F.col("roomId") == F.col("__r"), "left").drop("__h", "__r"))

@@ -3,8 +3,8 @@
 The reference declares NOT NULL, primary keys and foreign keys but never has
 them enforced on reads; here each becomes a batch check that returns the
 offending rows, plus a per-table summary built on top of it.  Each check is one
-pass (NOT NULL), one aggregation on the key (keys) or one anti join per edge
-(references); nothing is collected.
+pass (NOT NULL) or one aggregation on the keys of all tables together (keys, references);
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -102,6 +102,8 @@ def key_report(t: dict[str, DataFrame], composite: bool | None = None) -> DataFr
     """
     items = [(name, PRIMARY_KEYS[name]) for name in t if name in PRIMARY_KEYS
              and (composite is None or (len(PRIMARY_KEYS[name]) > 1) == composite)]
+    if not items:
+        raise ValueError("no table here has such a key")
     width = max(len(keys) for _, keys in items)
     kcols = [f"k{i}" for i in range(width)]
     text = any(t[name].schema[k].dataType == StringType() for name, keys in items for k in keys)
@@ -137,11 +139,42 @@ def key_report(t: dict[str, DataFrame], composite: bool | None = None) -> DataFr
 
 
 def orphan_report(t: dict[str, DataFrame]) -> DataFrame:
-    """B4 over every declared foreign key whose two tables are given."""
-    frames = [
-        orphan_count(t[c], f, t[p], k, (c, f, p, k))
-        for c, f, p, k in FOREIGN_KEYS
-        if c in t and p in t
-    ]
-    return _union_all(frames)
+    """B4 over every declared foreign key whose two tables are given.
 
+    Each table is read once: a row gives its own key, if others refer to it,
+    and its references, each tagged with the key it refers to (the domain) and the
+    edge's place among the references to that key.  One aggregation on
+    (domain, value), counted map-side first, says of each value whether its
+    parent is there and how many rows of each edge refer to it.
+    """
+    edges = [e for e in FOREIGN_KEYS if e[0] in t and e[2] in t]
+    if not edges:
+        raise ValueError("no foreign key has both its tables here")
+    domains = {d: i for i, d in enumerate(dict.fromkeys((p, k) for _, _, p, k in edges))}
+    place: dict[tuple, int] = {}
+    for e in edges:
+        place[e] = sum(1 for other in place if other[2:] == e[2:])
+    width = 1 + max(place.values())
+    text = any(t[c].schema[f].dataType == StringType() or t[p].schema[k].dataType == StringType() for c, f, p, k in edges)
+    kind = "string" if text else "long"
+
+    def tagged(column: str, domain: tuple[str, str], slot: int | None) -> F.Column:
+        return F.struct(F.lit(domains[domain]).alias("domain"), F.col(column).cast(kind).alias("value"), F.lit(slot).cast("int").alias("slot"))
+
+    reads = []
+    for name in dict.fromkeys(x for c, _, p, _ in edges for x in (c, p)):
+        given = [tagged(k, (p, k), None) for p, k in domains if p == name]
+        given += [tagged(e[1], e[2:], place[e]) for e in edges if e[0] == name]
+        reads.append(t[name].select(F.explode(F.array(*given)).alias("x")).select("x.*"))
+    per_value = (
+        _union_all(reads).where(F.col("value").isNotNull())
+        .groupBy("domain", "value")
+        .agg(F.max(F.col("slot").isNull()).alias("there"), *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(width)])
+    )
+    lost = per_value.where(~F.col("there")).groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(width)])
+    spark = next(iter(t.values())).sparkSession
+    names = spark.createDataFrame([(*e, domains[e[2:]], place[e]) for e in edges],
+                                  "child_table string, fk_column string, parent_table string, pk_column string, domain int, slot int")
+    count = F.get(F.array(*[F.col(f"n{i}") for i in range(width)]), F.col("slot"))
+    return names.join(lost, "domain", "left").select(
+        "child_table", "fk_column", "parent_table", "pk_column", F.coalesce(count, F.lit(0)).cast("long").alias("orphan_rows"))

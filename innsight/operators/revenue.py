@@ -22,7 +22,8 @@ from innsight.functions.timeparts import month_int, year_int
 from innsight.operators.preagg import (
     existing_reservations,
     revenue_per_reservation,
-    room_hotels,
+    stay_hotels,
+    stay_room_types,
     weighted,
 )
 
@@ -86,8 +87,7 @@ def revenue_by_hotel(t: dict[str, DataFrame], literal: bool = False, totals: Dat
         rc = revenue_per_reservation(t, totals=totals)
         # k = stays of the reservation in each hotel
         hs = (
-            t["stay"].select("reservationId", "roomId")
-            .join(room_hotels(t), "roomId")
+            stay_hotels(t)
             .groupBy("reservationId", "hotelId")
             .agg(F.count(F.lit(1)).alias("k"))
         )
@@ -182,8 +182,7 @@ def room_type_performance(t: dict[str, DataFrame], charge_type_id: int = ROOM_NI
     else:
         rc = revenue_per_reservation(t, charge_type_id=charge_type_id, totals=totals)
         hs = (
-            t["stay"].select("reservationId", "roomId")
-            .join(t["room"].select("roomId", "roomTypeId"), "roomId")
+            stay_room_types(t)
             .groupBy("reservationId", "roomTypeId")
             .agg(F.count(F.lit(1)).alias("k"))
         )

@@ -14,7 +14,7 @@ from innsight.functions.money import money_sum, to_money
 from innsight.functions.text import contains_ci, full_name, name_matches
 from innsight.functions.timeparts import month_int, month_key_text, year_int, year_month_text
 from innsight.operators.operations import search_staff
-from innsight.operators.preagg import existing_reservations, room_hotels, weighted
+from innsight.operators.preagg import existing_reservations, stay_hotels, weighted
 
 KINDS = ("guest", "hotel", "staff")
 
@@ -93,8 +93,7 @@ def search_hotel(t: dict[str, DataFrame], term: str, literal: bool = False,
         # and month, summed where they are read: a hot reservation is collapsed
         # before any shuffle.
         hs = (
-            t["stay"].select("reservationId", "roomId")
-            .join(room_hotels(t, hotels), "roomId")
+            stay_hotels(t, hotels)
             .groupBy("reservationId", "hotel_name")
             .agg(F.count(F.lit(1)).alias("k"))
         )

@@ -366,10 +366,6 @@ def body_without_stay() -> str:
     return "SELECT * FROM reservation WHERE reservationId NOT IN (SELECT reservationId FROM stay WHERE reservationId IS NOT NULL)"
 
 
-def _no_rows(body: str) -> str:
-    return f"SELECT * FROM ({body}) WHERE FALSE"
-
-
 def with_mapping(body: str) -> str:
     return f"WITH {MAPPING}\n{body}"
 
@@ -452,8 +448,16 @@ def oracle_queries() -> dict[str, str]:
         "b4_rows_without_stay": with_mapping(body_without_stay()),
         "m2_dispatch_guest": with_mapping(body_search_guest()),
         "m2_dispatch_staff": with_mapping(body_search_staff()),
-        "m2_dispatch_blank": with_mapping(_no_rows(body_search_hotel())),
-        "m2_dispatch_unknown": with_mapping(_no_rows(body_search_guest())),
+        "m2_dispatch_blank": with_mapping(body_search_hotel()),
+        "m2_dispatch_unknown": with_mapping(body_search_guest()),
+        "a3_ingest_twice": with_mapping("SELECT reservationId, partyId, dateTime FROM reservation"),
+        "a3_rejects": """SELECT 'loaded' AS outcome, count(*) FILTER (l_linenumber % 3 <> 0) AS n_rows FROM lineitem
+            UNION ALL SELECT 'rejected', count(*) FILTER (l_linenumber % 3 = 0) FROM lineitem""",
+        "a5_write_and_load": with_mapping("SELECT roomId, wingId, roomNumber, baseDailyRate FROM room"),
+        "n1_bucketed_revenue_by_hotel": with_mapping(body_revenue_by_hotel()),
+        "n1_bucketed_room_type_perf": with_mapping(body_room_type_performance()),
+        "n1_bucketed_search_guest": with_mapping(body_search_guest()),
+        "n1_bucketed_search_hotel": with_mapping(body_search_hotel()),
     }
     for name in DASHBOARD:
         q[f"m1_dashboard_{name}"] = with_mapping(REPORT_BODIES[name]())

@@ -33,9 +33,9 @@ from innsight.llm.chunks import chunked, slices
 from innsight.llm.common import stage
 
 #: Frequent words that every executor holds; some 40 bytes each.
-HOT = 1 << 18
+HOT = 1 << 19
 #: Bytes of text of a slice (a longer single text is one).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _NONE = 1 << 30
 _BITS = 20
 _LISTS = 131_071
@@ -194,7 +194,7 @@ def _known_apart(blocks: DataFrame, known: Broadcast) -> DataFrame:
     """``blocks`` with ``words`` that were not sent out only; ``place`` says of each former one where it is (-1, -2, ...: in ``words``)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = known.value[0]
+        sent = known.value
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
@@ -219,7 +219,7 @@ def _put_together(blocks: DataFrame, known: Broadcast, piece_ids: list[int], pie
         from hashlib import sha256
 
         sums = lambda x, e: pa.array([sha256(x[a:b]).hexdigest() for a, b in zip(e, e[1:], strict=False)], pa.string())
-        base = pa.concat_arrays([pa.array([i.to_bytes(4, "little") for i in piece_ids], pa.large_binary()), known.value[1]])
+        base = pa.concat_arrays([pa.array([i.to_bytes(4, "little") for i in piece_ids], pa.large_binary()), known.value])
         bytes_of = pa.array(pieces, pa.large_binary())
         for batch in batches:
             for k in range(batch.num_rows):
@@ -280,14 +280,14 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, digest: bool
     # a word of one slice is folded once, there
     frequent = _frequent(stage(counts.where("n > 1"), "words"), hot)
     table = stage(rank_map.over(frequent, "ids", lambda ids: ids(F.col("word"))), "word-ids").toArrow()  # ``hot`` rows at most
-    known = spark.sparkContext.broadcast((
-        pa.concat_arrays([pa.array([], pa.string()), *table.column("word").cast(pa.string()).chunks]),
-        pa.concat_arrays([pa.array([], pa.large_binary()), *(_id_bytes(c) for c in table.column("ids").chunks if len(c))])))
+    # the words go to one side, their ids to the other
+    words_sent = spark.sparkContext.broadcast(pa.concat_arrays([pa.array([], pa.string()), *table.column("word").cast(pa.string()).chunks]))
+    ids_sent = spark.sparkContext.broadcast(pa.concat_arrays([pa.array([], pa.large_binary()), *(_id_bytes(c) for c in table.column("ids").chunks if len(c))]))
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    rest = rank_map.over(_known_apart(blocks, known), "ids", lambda ids: F.transform("words", ids)).drop("words")
-    return _put_together(rest, known, [r for _, r in whole], pieces, digest)
+    rest = rank_map.over(_known_apart(blocks, words_sent), "ids", lambda ids: F.transform("words", ids)).drop("words")
+    return _put_together(rest, ids_sent, [r for _, r in whole], pieces, digest)
 
 
 def decode_ids(encoded: DataFrame, rank_file: str) -> DataFrame:

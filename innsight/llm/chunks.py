@@ -37,10 +37,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     begin, used = 0, 0
     for i, n in enumerate(sizes):
         if i > begin and used + n > most:
+            pa.default_memory_pool().release_unused()  # what the slice before held
             yield batch.slice(begin, i - begin)
             begin, used = i, 0
         used += n
     if begin < len(sizes):
+        pa.default_memory_pool().release_unused()
         yield batch.slice(begin)
 
 

@@ -35,6 +35,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Labelled rows that the trees are grown from.
 FIT_ROWS = 20_000
 TREES, SAMPLE = 100, 256
+#: Bytes of text that are counted at once.
+SLICE_BYTES = 2 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))  # fixed values: odd multipliers
 
@@ -91,7 +93,7 @@ def with_counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 counts = text_counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(counts[c], pa.int64()) for c in COUNTS)], [*keep, *COUNTS])
 

@@ -49,6 +49,8 @@ _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))  # fixed v
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 / golden ratio
 #: A shingle that this part of the documents share is ordered after all others.
 COMMON = 64
+#: Bytes of text that are cut into shingles at once: some thirty times that in a task's memory.
+SLICE_BYTES = 2 << 20
 #: Shingles of a bucket, some 7 bytes each as they travel and ten times that while a task works on them.
 BUCKET = 1 << 20
 
@@ -102,7 +104,7 @@ def _members(docs: DataFrame, words: int) -> DataFrame:
         hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         total = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 sets, at = shingle_sets(part.column("text"), words)
                 n = np.diff(at)
                 key = _classes(sets, at)
@@ -176,7 +178,7 @@ def _shared(docs: DataFrame, words: int, common: np.ndarray, buckets: int) -> Da
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 sets, at = shingle_sets(part.column("text"), words)
                 n = np.diff(at)
                 key = _classes(sets, at)

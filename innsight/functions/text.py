@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EM_DASH = "—"
 
 
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+
+
+def _folded(term: str) -> str:
+    return term.translate(str.maketrans(_UPPER, _LOWER))
+
+
 def like_pattern(term: str) -> str:
-    """``%term%`` for a case-insensitive substring match.
+    """``%term%`` for a case-insensitive substring match, A-Z in lower case.
 
     The term is bound as-is: ``%`` and ``_`` inside it stay wildcards, as in a
     LIKE pattern without an ESCAPE clause.  Spark's LIKE uses ``\\`` as its
     escape character, so every backslash is doubled to keep it literal.
     """
-    return "%" + term.replace("\\", "\\\\") + "%"
+    return "%" + _folded(term).replace("\\", "\\\\") + "%"
 
 
 def contains_ci(col: Column, term: str) -> Column:
-    """``col ILIKE '%term%'``; Catalyst rewrites it to a ``Contains`` on
-    ``lower(col)`` that stays next to the scan."""
-    return col.ilike(like_pattern(term))
+    """``col LIKE '%term%'`` that takes A-Z and a-z as equal and folds nothing else.
+
+    A term without wildcards becomes a plain ``Contains`` next to the scan."""
+    folded = F.translate(col, _UPPER, _LOWER)
+    if "%" in term or "_" in term:
+        return folded.like(like_pattern(term))
+    return folded.contains(_folded(term))
 
 
 def full_name(first: Column | str, last: Column | str) -> Column:

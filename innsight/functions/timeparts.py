@@ -43,18 +43,20 @@ def month_key_text(year: Column, month: Column) -> Column:
 
 
 def datetime_text(c: Column) -> Column:
-    """``'2025-01-16 15:00:00'`` (fractions of a second dropped)."""
-    return F.substring(c.cast("timestamp_ntz").cast("string"), 1, 19)
+    """``'2025-01-16 15:00:00'``, with the fraction of a second where there is one."""
+    return c.cast("timestamp_ntz").cast("string")
 
 
-# 'YYYY-MM-DD', optionally followed by ' HH:MM:SS[.ffffff]' (or 'T' instead
-# of the space), the shapes SQLite's date functions accept.
-_DATETIME_RX = r"^(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{2}):(\d{2}):(\d{2}(?:\.\d{1,6})?))?$"
+# 'YYYY-MM-DD', optionally followed by ' HH:MM[:SS[.fff...]]' (or 'T' instead of
+# the space) and 'Z' or an offset '+HH:MM': the date shapes of SQLite's date functions.
+_DATETIME_RX = (r"^(\d{4})-(\d{2})-(\d{2})"
+                r"(?:(?: +|T)(\d{2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)(?:(?<=\.\d{6})\d+)?)?(?: *(?:[Zz]|([+-])(\d{2}):(\d{2})))?)?$")
 
 
 def parse_datetime(c: Column) -> Column:
     """Text to ``timestamp_ntz``; unparsable text or an impossible date gives
-    NULL, never an error.  Built from the fields, so no time zone is involved
+    NULL, never an error.  Digits beyond microseconds are cut; a time with an
+    offset becomes the time at Greenwich, as SQLite takes it.  Built from the fields, so no time zone is involved
     (parsing to a zoned timestamp and casting back would move wall-clock
     times that fall in a DST gap of the session zone)."""
     text = F.trim(c.cast("string"))
@@ -67,6 +69,10 @@ def parse_datetime(c: Column) -> Column:
         F.coalesce(part(4), F.lit(0)), F.coalesce(part(5), F.lit(0)),
         F.coalesce(part(6, "decimal(8,6)"), F.lit(0).cast("decimal(8,6)")),
     )
+    hours, minutes = part(8), part(9)
+    ahead = F.make_dt_interval(hours=hours, mins=minutes)
+    moved = F.when(part(7, "string") == "-", ts + ahead).otherwise(ts - ahead)
+    ts = F.when(hours.isNull(), ts).when((hours <= 14) & (minutes <= 59), moved)
     return F.when(text.rlike(_DATETIME_RX), ts)
 
 

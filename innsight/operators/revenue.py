@@ -124,14 +124,13 @@ def top_customers(t: dict[str, DataFrame], n: int = 10, literal: bool = False,
             .join(revenue_per_reservation(t, totals=totals), "reservationId")
             .groupBy("partyId")
             .agg(F.sum("revenue").alias("rev"), F.count(F.lit(1)).alias("num_reservations"))
-            .join(party, "partyId")
+            .join(t["party"].select("partyId"), "partyId", "left_semi")
         )
-    return (
-        per_party.select("partyId", "firstName", "lastName",
-                         to_money(F.col("rev")).alias("total_revenue"), "num_reservations")
-        .orderBy(F.desc_nulls_last("total_revenue"), F.asc_nulls_first("partyId"))
-        .limit(n)
-    )
+    order = [F.desc_nulls_last("total_revenue"), F.asc_nulls_first("partyId")]
+    top = per_party.withColumn("total_revenue", to_money(F.col("rev"))).drop("rev").orderBy(*order).limit(n)
+    if not literal:  # keys are checked before the cut, names join the n rows that are left
+        top = top.join(party, "partyId")
+    return top.select("partyId", "firstName", "lastName", "total_revenue", "num_reservations").orderBy(*order)
 
 
 def revenue_by_charge_type(t: dict[str, DataFrame], totals: DataFrame | None = None) -> DataFrame:

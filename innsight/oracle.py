@@ -133,9 +133,14 @@ def _avg(c: str) -> str:
     return f"{_sum(c)} / CAST(COUNT({c}) AS DOUBLE)"
 
 
+def _ilike(column: str, term: str) -> str:
+    """LIKE that folds A-Z only."""
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"{fold.format(column)} LIKE {fold.format(chr(39) + '%' + term.replace(chr(39), chr(39) * 2) + '%' + chr(39))}"
+
+
 def _ilike3(first: str, last: str, term: str) -> str:
-    p = "'%" + term.replace("'", "''") + "%'"
-    return f"({first} ILIKE {p} OR {last} ILIKE {p} OR ({first} || ' ' || {last}) ILIKE {p})"
+    return "(" + " OR ".join(_ilike(c, term) for c in (first, last, f"({first} || ' ' || {last})")) + ")"
 
 
 # Parameters used by the registered queries (see __spark_entry__.py).
@@ -275,13 +280,12 @@ ORDER BY check_in DESC NULLS LAST, reservationId"""
 
 
 def body_search_hotel(term: str = HOTEL_TERM) -> str:
-    p = "'%" + term.replace("'", "''") + "%'"
     return f"""
 SELECT hotel.name AS hotel_name, year_month, CAST(SUM(total * stays) AS DOUBLE) AS total_revenue
 FROM (SELECT reservationId, strftime(dateTime, '%Y-%m') AS year_month, SUM(CAST(cost AS DECIMAL(18,2))) AS total
       FROM charge GROUP BY ALL)
 JOIN {_PLACED} USING (reservationId) JOIN hotel USING (hotelId)
-WHERE hotel.name ILIKE {p} AND reservationId IN (SELECT reservationId FROM reservation)
+WHERE {_ilike('hotel.name', term)} AND reservationId IN (SELECT reservationId FROM reservation)
 GROUP BY hotel.name, year_month
 ORDER BY year_month, hotel_name"""
 
@@ -454,6 +458,9 @@ def oracle_queries() -> dict[str, str]:
         "a3_rejects": """SELECT 'loaded' AS outcome, count(*) FILTER (l_linenumber % 3 <> 0) AS n_rows FROM lineitem
             UNION ALL SELECT 'rejected', count(*) FILTER (l_linenumber % 3 = 0) FROM lineitem""",
         "a5_write_and_load": with_mapping("SELECT roomId, wingId, roomNumber, baseDailyRate FROM room"),
+        "b2_repeated_across_loads": with_mapping("SELECT reservationId, CAST(2 AS BIGINT) AS n_rows, CAST(2 AS BIGINT) AS n_loads FROM reservation WHERE reservationId % 6 = 0"),
+        "m1_incremental_monthly_revenue": with_mapping(REPORT_BODIES["monthly_revenue"]()),
+        "m1_incremental_room_type_perf": with_mapping(REPORT_BODIES["room_type_perf"]()),
         "n1_bucketed_revenue_by_hotel": with_mapping(body_revenue_by_hotel()),
         "n1_bucketed_room_type_perf": with_mapping(body_room_type_performance()),
         "n1_bucketed_search_guest": with_mapping(body_search_guest()),

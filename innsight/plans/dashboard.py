@@ -66,13 +66,15 @@ def refresh_dashboard(
     stage_dir: str | None = None,
     parallelism: int = 4,
     buckets: int | None = None,
+    totals: DataFrame | None = None,
     **kwargs,
 ) -> dict[str, str]:
     """Write each dashboard result to ``out_dir/<key>`` as Parquet.
 
     The shared pre-aggregate is written once to a folder of this refresh's own
     under ``stage_dir`` (default: the session's shared staging folder) and read
-    back, so two refreshes at once do not meet.  Returns the written paths by key.
+    back, so two refreshes at once do not meet.  ``totals`` stands in for it where the caller
+    has it already.  Returns the written paths by key.
     """
     stage = (stage_dir or f"{staging_dir(spark)}/dashboard_stage").rstrip("/")
     refresh = uuid.uuid4().hex
@@ -85,7 +87,8 @@ def refresh_dashboard(
     # dropped afterwards, with the staged files.
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"innsight_stage_{refresh}"
-    (charge_totals(t["charge"]).repartition(n, "reservationId")
+    made = charge_totals(t["charge"]) if totals is None else totals
+    (made.repartition(n, "reservationId")
      .write.mode("overwrite").bucketBy(n, "reservationId").option("path", path).saveAsTable(table))
     try:
         totals = spark.table(table)

@@ -60,7 +60,9 @@ def test_name_match_rules(spark):
     assert _matches(spark, names, "l_x") == [("Alex", "Hart")]                 # '_' is any one character
     assert _matches(spark, names, "a\\s") == [("Back", "sla\\sh")]           # backslash is literal
     assert _matches(spark, names, "\\") == [("Back", "sla\\sh")]              # even at the end
-    assert _matches(spark, names, "émile") == [("Émile", "Müller")]            # Unicode case folding
+    assert _matches(spark, names, "émile") == []                               # only A-Z is folded
+    assert _matches(spark, names, "ÉMILE m") == [("Émile", "Müller")]
+    assert _matches(spark, names, "MÜLLER") == []
     assert _matches(spark, names, "jo ") == []                                 # full name NULL -> no match
 
 
@@ -79,6 +81,25 @@ def test_month_parts_and_parse(spark):
     assert (out[2].y, out[2].m) == ("0999", "12")
 
 
+def test_shapes_of_a_time(spark):
+    at = dt.datetime(2025, 1, 16, 15, 0)
+    shapes = {
+        "2025-01-16 15:00": at, "2025-01-16T15:00": at, "2025-01-16  15:00:00": at, "2025-01-16 15:00:00Z": at, "2025-01-16 15:00z": at,
+        "2025-01-16 15:00:00.1234567": at.replace(microsecond=123456), "2025-01-16 15:00:00.5": at.replace(microsecond=500000),
+        "2025-01-16 15:00:00+02:00": at - dt.timedelta(hours=2), "2025-01-16 15:00 -05:30": at + dt.timedelta(hours=5, minutes=30),
+        "2025-01-16": at.replace(hour=0), "2025-02-30 10:00": None, "2025-01-16 25:00": None, "2025-01-16 15": None, "2025-01-16 15:00:00.": None,
+        "2025-01-16 15:00:00+15:00": None, "2025-01-16 15:00:00 UTC": None, "2025-01-16Z": None, "": None}
+    df = spark.createDataFrame([(s,) for s in shapes], "s string")
+    assert {r.s: r.ts for r in df.select("s", parse_datetime(df.s).alias("ts")).collect()} == shapes
+
+
+def test_time_text_keeps_the_fraction(spark):
+    from innsight.functions.timeparts import datetime_text
+
+    df = spark.createDataFrame([("2025-01-16 15:00:00.250",), ("2025-01-16 15:00:00",)], "s string")
+    assert [r[0] for r in df.select(datetime_text(parse_datetime(df.s))).collect()] == ["2025-01-16 15:00:00.25", "2025-01-16 15:00:00"]
+
+
 def test_time_text_is_zone_free(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")

@@ -9,9 +9,9 @@ from innsight.operators import search
 
 def _like(term: str):
     """A LIKE '%term%' pattern as a regex: % any run, _ any one character,
-    everything else literal; case folded (Spark folds all of Unicode)."""
+    everything else literal; A-Z folded, nothing else."""
     body = "".join(".*" if ch == "%" else "." if ch == "_" else re.escape(ch) for ch in term)
-    return re.compile(".*" + body + ".*", re.IGNORECASE | re.DOTALL)
+    return re.compile(".*" + body + ".*", re.IGNORECASE | re.ASCII | re.DOTALL)
 
 
 def test_blank_term_or_unknown_kind_gives_no_rows(t):

@@ -5,11 +5,12 @@ one group: best fit in falling length, then local search.  The search takes
 the emptiest sequence and moves a document out of it, or exchanges one of its
 documents, or two of them, for a shorter one elsewhere, always so that the sum of
 squared fills grows; a sequence that has become empty is gone.  It stops when
-no such step is left.  A group's last sequences are the only loss against
-packing all pieces at once, less than one sequence in a thousand.
+no such step is left.  The pieces of all sequences with room left are then dealt
+anew and packed again, round by round, until one group holds them all or a round
+needs as many sequences as the one before.
 
 Defined results: a NULL text has the end id alone; empty tables give no rows;
-repeated rows are packed once per row; further columns are not carried.
+repeated rows are packed once per row, dealt like any others; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from innsight.llm.chunks import WordIds, encoded, slices
 from innsight.llm.common import stage
@@ -94,30 +96,37 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
 
     def step(b: int) -> bool:
         """One improving step out of bin b: the one that leaves the least room where it goes."""
-        mine = sorted(members[b], key=lambda i: -lengths[i])
+        by_length = {int(lengths[i]): i for i in sorted(members[b], reverse=True)}
+        twice = {int(lengths[i]): i for i in members[b] if by_length[int(lengths[i])] != i}
+        mine = sorted(by_length, reverse=True)
         room = capacity - fill
-        single = [(int(lengths[i]), (i,)) for i in mine]
-        pairs = [(int(lengths[i] + lengths[j]), (i, j)) for k, i in enumerate(mine) for j in mine[k + 1 :]] if len(mine) <= 24 else []
-        for total, out in single:  # a move: no document comes back
+        for total in mine:  # a move: no document comes back
             fits = np.flatnonzero((room >= total) & (fill + total > fill[b]) & (fill > 0))
             fits = fits[fits != b]
             if len(fits):
                 to = fits[np.argmin(room[fits])]
-                _exchange(b, int(to), out, None)
+                _exchange(b, int(to), (by_length[total],), None)
                 return True
-        rooms = room[home[live]]
-        elsewhere = home[live] != b
-        seen: set[int] = set()
-        for total, out in single + pairs:  # exchanges: one for one, two for one
-            if total in seen:
-                continue
-            seen.add(total)
-            net = total - size
-            left = rooms - net
-            good = elsewhere & (net > 0) & (left >= 0) & (rooms > left) & (capacity - rooms + net > fill[b])
-            if good.any():
-                k = np.flatnonzero(good)
-                k = k[np.argmin(left[k])]
+        # exchanges, one for one, then two for one.  The lengths of one bin add up to its capacity at
+        # most, so few of them differ (63 of 2048) and so do their sums: one pair a sum stands for all
+        outs = {total: (by_length[total],) for total in mine}
+        for k, u in enumerate(mine):
+            if u in twice:
+                outs.setdefault(2 * u, (by_length[u], twice[u]))
+            for v in mine[k + 1 :]:
+                outs.setdefault(u + v, (by_length[u], by_length[v]))
+        # shortest document to come back, by the room that its bin has once it is out
+        elsewhere = np.flatnonzero(home[live] != b)
+        freed = room[home[live[elsewhere]]] + size[elsewhere]
+        back = np.full(capacity + 1, capacity + 1, np.int64)
+        np.minimum.at(back, freed, size[elsewhere])
+        for total, out in outs.items():
+            # room enough, the least left over; shorter than what comes; the other bin ends fuller than this one was
+            end = min(capacity + total - int(fill[b]), capacity + 1)
+            good = np.flatnonzero(back[total:end] < total)
+            if len(good):
+                c = total + int(good[0])
+                k = elsewhere[np.flatnonzero((freed == c) & (size[elsewhere] == back[c]))[0]]
                 _exchange(b, int(home[live[k]]), out, int(live[k]))
                 return True
         return False
@@ -145,30 +154,55 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
     return [sorted(x) for x in members if x]
 
 
-def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset.
-
-    ``pieces`` should be a written table: it is counted, then dealt out.
-    Keep token ids out of it and join them on (doc_id, piece) where wanted.
-    """
-    groups = max(1, -(-pieces.count() // group))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+def _pack_groups(pieces: DataFrame, capacity: int, groups: int, base: int) -> DataFrame:
+    """One round: pieces dealt evenly to ``groups``, each packed by one task; ``__room`` is left in a piece's sequence."""
+    schema = StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long").add("__room", "long")
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = rows["length"].to_numpy(np.int64)
         bins = local_search(lengths, best_fit(lengths, capacity), capacity)
-        sequence, offset = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+        sequence, offset, room = (np.empty(len(rows), np.int64) for _ in range(3))
         for b, items in enumerate(bins):
-            sequence[items] = (int(key[0]) << 32) + b
+            sequence[items] = ((base + int(key[0])) << 24) + b
             n = lengths[items]
             offset[items] = np.cumsum(n) - n
-        return rows.drop(columns="__group").assign(sequence_id=sequence, offset=offset)
+            room[items] = capacity - n.sum()
+        return rows.drop(columns="__group").assign(sequence_id=sequence, offset=offset, __room=room)
 
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # by place in the written table: rows that repeat part like any others
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(solve, schema)
 
 
+def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
+    """``pieces`` (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset.
+
+    ``pieces`` should be a written table: it is counted, then dealt out by place.
+    Keep token ids out of it and join them on (doc_id, piece) where wanted.
+    """
+    left, n, base, used, held, done = pieces, pieces.count(), 0, None, None, []
+    while True:
+        groups = max(1, -(-n // group))
+        packed = stage(_pack_groups(left, capacity, groups, base), "packed")
+        base += groups
+        with_room = F.col("__room") > 0
+        first = F.col("offset") == 0
+        now, n, roomy = packed.agg(F.count_if(first), F.count_if(with_room), F.count_if(first & with_room)).first()
+        if used is not None and now >= used:  # nothing gained over the round before: its sequences stay
+            done.append(held)
+            break
+        if groups == 1 or n == 0:
+            done.append(packed)
+            break
+        done.append(packed.where(~with_room))
+        left, held, used = packed.where(with_room).select(*pieces.columns), packed.where(with_room), roomy
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.drop("__room")
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, spaces: bool = False) -> DataFrame:
     """Tokenize, cut and pack ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(stage(token_pieces(docs, tokenizer_file, end_id, capacity, spaces, ids=False), "pieces"), capacity)

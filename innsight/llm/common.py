@@ -44,6 +44,25 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_by_hash(df: DataFrame, h: str, n: int) -> DataFrame:
+    """The rows of ``df`` whose 64-bit hash in column ``h`` is among the ``n`` smallest that occur.
+
+    Only hashes are looked for, and only those under a bound that the number of
+    different ones gives, so what meets in one task is some ``n`` numbers at
+    any input size; the rows themselves are fetched by them.
+    """
+    each = stage(df.select(h).distinct(), "hashes")
+    total = each.count()
+    likely = n + 8 * n**0.5 + 32  # hashes spread evenly: fewer than n under this share is next to impossible
+    few = each
+    if likely < total:
+        few = each.where(F.col(h) < F.lit(int(likely / total * 2**64) - 2**63))
+        if few.count() < n:
+            few = each
+    # at most n numbers
+    return df.join(F.broadcast(stage(few.orderBy(h).limit(n), "picked")), h, "left_semi")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

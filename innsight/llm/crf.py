@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.llm.chunks import slices
+from innsight.llm.common import first_by_hash
 
 #: Labelled pages that the weights are trained on.
 FIT_PAGES = 300
@@ -285,7 +286,9 @@ def _plain(text: str) -> str:
 def fit(pages: DataFrame, seed: int = 11, fit_pages: int = FIT_PAGES) -> Chain:
     """Weights from at most ``fit_pages`` pages whose markup is sure."""
     sure = pages.where(F.col("html").rlike("(?i)<(?:article|main)[\\s>]")).select("html", F.xxhash64("html", F.lit(seed)).alias("h"))
-    some = [r.html for r in sure.orderBy("h", "html").limit(fit_pages).collect()]
+    # of pages that repeat, one; at most fit_pages reach the driver
+    picked = first_by_hash(sure, "h", fit_pages).groupBy("h").agg(F.min("html").alias("html")).collect()
+    some = [r.html for r in sorted(picked, key=lambda r: r.h)]
     rng = np.random.default_rng(seed)
     made = [v for html in [*_EXAMPLES, *some] for _ in range(3) for v in _variants(html, rng)]
     return Chain().train(made, EPOCHS, seed)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innsight.llm.chunks import chunked, slices
-from innsight.llm.common import stage
+from innsight.llm.common import first_by_hash, stage
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks", "n_plain"]
 #: Labelled rows that the trees are grown from.
@@ -184,8 +184,9 @@ def fit(counted: DataFrame, labels: DataFrame, seed: int = 7, fit_rows: int = FI
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = counted.where(~base_failed()).select("doc_id", *COUNTS).join(known, "doc_id")
     rows = stage(rows, "labelled")
-    picked = (rows.where("quality = 1").select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", F.array(*[f.cast("double") for f in features()]).alias("x"))
-              .orderBy("h", "doc_id", "x").limit(fit_rows).collect())
+    # labelled documents by the hash of their id, each once however often it is repeated
+    known_good = rows.where("quality = 1").select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.array(*[f.cast("double") for f in features()]).alias("x"))
+    picked = sorted(first_by_hash(known_good, "h", fit_rows).groupBy("h").agg(F.min("x").alias("x")).collect(), key=lambda r: r.h)
     good = np.array([r.x for r in picked], np.float64)
     if not len(good):
         return None

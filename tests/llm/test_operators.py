@@ -14,7 +14,7 @@ import public_tokenizers as P
 import pytest
 
 from innsight.llm import bpe, crf, hilbert, iblt, isolation, ngram_join, packing, surrogates, token_files, toolcalls
-from innsight.llm.common import ship
+from innsight.llm.common import first_by_hash, ship, stage
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +132,73 @@ def test_local_search_empties_a_bin_that_best_fit_leaves():
     assert len(better) == 3 and sorted(i for b in better for i in b) == list(range(7))
 
 
+def _improving_step(lengths, bins, capacity):
+    """Any move or exchange (one or two documents for a shorter one or none) that raises the sum of squared fills, tried one by one."""
+    fill = [int(lengths[b].sum()) for b in bins]
+    for x, mine in enumerate(bins):
+        outs = [int(lengths[i]) for i in mine] + [int(lengths[i] + lengths[j]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
+        for y, other in enumerate(bins):
+            if x != y and 0 < fill[x] < capacity and fill[y] < capacity:
+                backs = [int(lengths[i]) for i in other]
+                singles = len(mine)
+                for k, out in enumerate(outs):
+                    for back in backs + [0] * (k < singles):
+                        net = out - back
+                        if net > 0 and fill[y] + net <= capacity and fill[y] + net > fill[x]:
+                            return x, y, out, back
+    return None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_leaves_no_step(seed):
+    rng = np.random.default_rng(seed)
+    capacity = (40, 200, 2048)[seed % 3]
+    lengths = rng.integers(1, (capacity // 3, max(2, capacity // 60))[seed % 2], 400)  # many documents a bin in every second case
+    bins = [list(map(int, b)) for b in np.array_split(np.arange(400), -(-int(lengths.sum()) // (capacity // 3)))]
+    bins = [b for b in bins if lengths[b].sum() <= capacity] + [[i] for b in bins if lengths[b].sum() > capacity for i in b]
+    out = packing.local_search(lengths, bins, capacity)
+    assert sorted(i for b in out for i in b) == sorted(i for b in bins for i in b)
+    assert all(lengths[b].sum() <= capacity for b in out) and len(out) <= len(bins)
+    assert _improving_step(lengths, out, capacity) is None
+
+
+def test_groups_meet_again_and_repeated_rows_part(spark):
+    rng = np.random.default_rng(5)
+    lengths = [int(x) for x in rng.integers(1, 60, 2000)] + [7] * 1000  # a third of the rows is one row
+    rows = [(i if i < 2000 else 9_999, 0, n, i if i < 2000 else 1) for i, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long").repartition(3)
+    pieces = stage(pieces, "test-pieces")
+    packed = packing.pack(pieces, 100, group=100)
+    out = packed.collect()
+    assert collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in out) == collections.Counter(rows)
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 100
+    apart = packing._pack_groups(pieces, 100, 30, 0).select("sequence_id").distinct().count()
+    least = -(-sum(lengths) // 100)
+    assert least <= len(bins) <= least + (apart - least) // 2  # groups that never meet lose far more
+    assert packed.columns == ["doc_id", "piece", "length", "ids_crc32", "sequence_id", "offset"]
+    groups = packing._pack_groups(pieces, 100, 30, 0).where("doc_id = 9999").select((F.col("sequence_id") / 2**24).cast("long")).distinct().count()
+    assert groups == 30
+    # nothing to gain: one piece a sequence, in any number of rounds
+    alone = stage(pieces.withColumn("length", F.lit(60).cast("long")), "test-pieces")
+    assert packing.pack(alone, 100, group=100).select("sequence_id").distinct().count() == 3000
+
+
+def test_first_by_hash(spark):
+    df = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
+    hot = df.unionByName(spark.range(3000).select(F.xxhash64(F.lit(1).cast("long")).alias("h"), F.lit(1).cast("long").alias("id")))
+    hashes = sorted(r.h for r in df.collect())
+    for n in (1, 100, 4999, 6000):
+        got = first_by_hash(hot, "h", n)
+        assert sorted(r.h for r in got.select("h").distinct().collect()) == hashes[:n]
+    uneven = spark.range(50).select((F.col("id") + 2**62).alias("h"))  # all over the bound
+    assert first_by_hash(uneven, "h", 3).count() == 3 and first_by_hash(uneven.limit(0), "h", 3).count() == 0
+
+
 def test_bpe_equals_the_library(docs, texts, monkeypatch):
     import tiktoken
 

@@ -51,6 +51,8 @@ def datetime_text(c: Column) -> Column:
 # the space) and 'Z' or an offset '+HH:MM': the date shapes of SQLite's date functions.
 _DATETIME_RX = (r"^(\d{4})-(\d{2})-(\d{2})"
                 r"(?:(?: +|T)(\d{2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)(?:(?<=\.\d{6})\d+)?)?(?: *(?:[Zz]|([+-])(\d{2}):(\d{2})))?)?$")
+# The plain ones among them, which a cast reads alike; a second of 60 is left to the fields.
+_PLAIN_RX = r"^\d{4}-\d{2}-\d{2}(?: \d{2}:\d{2}:[0-5]\d)?\z"
 
 
 def parse_datetime(c: Column) -> Column:
@@ -58,7 +60,8 @@ def parse_datetime(c: Column) -> Column:
     NULL, never an error.  Digits beyond microseconds are cut; a time with an
     offset becomes the time at Greenwich, as SQLite takes it.  Built from the fields, so no time zone is involved
     (parsing to a zoned timestamp and casting back would move wall-clock
-    times that fall in a DST gap of the session zone)."""
+    times that fall in a DST gap of the session zone).  The plain shapes, a day or a day
+    and a time in seconds, are cast: the fields cost a match each."""
     text = F.trim(c.cast("string"))
 
     def part(i: int, typ: str = "int") -> Column:
@@ -73,7 +76,7 @@ def parse_datetime(c: Column) -> Column:
     ahead = F.make_dt_interval(hours=hours, mins=minutes)
     moved = F.when(part(7, "string") == "-", ts + ahead).otherwise(ts - ahead)
     ts = F.when(hours.isNull(), ts).when((hours <= 14) & (minutes <= 59), moved)
-    return F.when(text.rlike(_DATETIME_RX), ts)
+    return F.when(text.rlike(_PLAIN_RX), text.try_cast("timestamp_ntz")).when(text.rlike(_DATETIME_RX), ts)
 
 
 def ts_literal(value: str) -> Column:

@@ -34,10 +34,18 @@ def _land(batch: DataFrame, table: str, root: str, fmt: str, rejects: bool) -> N
     spark = batch.sparkSession
     ledger.open_ledger(spark, root, table)
     named = batch.select([F.col(c).alias(n) for c, n in zip(_FILE, ledger.FILE, strict=True)])
-    new = ledger.unloaded(spark, named, root, table)
-    load_id = ledger.load_name(new)
-    if load_id is None:
-        return
+    # a row per file: kept, so that the source is read for them once, and of measured size when the rows meet them
+    new = ledger.unloaded(spark, named, root, table).persist()
+    try:
+        load_id = ledger.load_name(new)
+        if load_id is not None:
+            _land_new(batch, new, load_id, table, root, fmt, rejects)
+    finally:
+        new.unpersist()
+
+
+def _land_new(batch: DataFrame, new: DataFrame, load_id: str, table: str, root: str, fmt: str, rejects: bool) -> None:
+    """Load the rows of the files in ``new`` as ``load_id``."""
     own = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(_FILE, ledger.FILE, strict=True)]
     rows = batch.join(new, own[0] & own[1] & own[2], "left_semi")
     if fmt == "csv" and rejects:
@@ -53,9 +61,10 @@ def _land(batch: DataFrame, table: str, root: str, fmt: str, rejects: bool) -> N
 
 def rejected(spark: SparkSession, root: str, table: str) -> DataFrame:
     """(row as JSON, reason, path) of the rows that committed loads set aside."""
-    kept = ledger.entries(spark, root, table).select("load_id").distinct()
+    kept = [r.load_id for r in ledger._loads(spark, root, table) if r.load_id]
     every = spark.read.schema("row string, reason array<string>, path string, load_id string").parquet(f"{root.rstrip('/')}/_rejects/{table}")
-    return every.join(kept, "load_id", "left_semi").select("row", "reason", "path")
+    # picks folders: no row is moved to meet its load
+    return every.where(F.col("load_id").isin(kept)).select("row", "reason", "path")
 
 
 def ingest_files(

@@ -176,3 +176,43 @@ def test_rows_that_do_not_parse_are_set_aside(spark):
     assert _all(spark, dst) == [1, 3]
     (bad,) = rejected(spark, dst, "charge").collect()
     assert sorted(bad.reason) == ["dateTime", "reservationId"] and json.loads(bad.row)["chargeId"] == "2" and bad.path.endswith("a.csv")
+
+
+def test_rows_meet_a_short_list_of_files_and_loads(spark, monkeypatch):
+    """No row is shuffled for the name of its file or load, and the source is read for its files once."""
+    import contextlib
+    import io
+
+    from innsight.streaming import ingest
+
+    def plan(df) -> str:
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        return out.getvalue()
+
+    base = tempfile.mkdtemp(prefix="short-list-", dir="/tmp")
+    src, dst = os.path.join(base, "src"), os.path.join(base, "dst")
+    os.makedirs(src)
+    _csv(os.path.join(src, "a.csv"), [("1", "10", "1", "", "1.00", "2025-01-16 15:00:00"), ("2", "10", "1", "", "1.00", "bad date")])
+    kept, land = [], ingest._land_new
+    monkeypatch.setattr(ingest, "_land_new", lambda batch, new, *rest: (kept.append(new.is_cached), land(batch, new, *rest)))
+    _load_again(spark, src, dst, rejects=True)
+    assert kept == [True]
+    # what a load left that was never entered is not seen
+    spark.read.parquet(os.path.join(dst, "_rejects", "charge")).drop("load_id").write.parquet(os.path.join(dst, "_rejects", "charge", "load_id=lost"))
+    bad = ingest.rejected(spark, dst, "charge")
+    assert [r.reason for r in bad.collect()] == [["dateTime"]]
+    assert "Exchange" not in plan(bad) and "Join" not in plan(bad)
+
+
+def test_plain_and_other_date_times_follow_one_rule(spark):
+    from datetime import datetime
+
+    from innsight.functions.timeparts import parse_datetime
+
+    day = datetime(2024, 2, 29)
+    wanted = {"2024-02-29": day, "2024-02-29 00:00:00": day, "2024-02-29\n": day, "2024-02-29T00:00": day, "2024-02-28 23:59:60": day,
+              "2023-02-29": None, "2024-02-29 24:00:00": None, "2024-02-29 00:60:00": None, "2024-2-29": None}
+    df = spark.createDataFrame([(s,) for s in wanted], "s string")
+    assert {r.s: r.ts for r in df.select("s", parse_datetime(df.s).alias("ts")).collect()} == wanted

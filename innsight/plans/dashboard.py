@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from innsight.operators.operations import WINDOW_END, WINDOW_START, occupancy_by_hotel, staff_workload
-from innsight.operators.preagg import charge_totals
+from innsight.operators.preagg import charge_totals, revenue_per_reservation
 from innsight.operators.revenue import (
     ROOM_NIGHT,
     monthly_revenue_text,
@@ -40,21 +40,24 @@ def dashboard(
     window: tuple[str, str] = (WINDOW_START, WINDOW_END),
     charge_type_id: int = ROOM_NIGHT,
     top_n: int = 10,
+    per_reservation: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The eight dashboard results as lazy ``DataFrame`` plans.
 
     ``totals`` is the shared per-(reservation, charge type) pre-aggregate; it
-    is derived from ``t["charge"]`` when not given.
+    is derived from ``t["charge"]`` when not given.  ``per_reservation``, the same added
+    up to one row per reservation, stands in for it in the three results that need no more.
     """
     totals = charge_totals(t["charge"]) if totals is None else totals
+    per_reservation = totals if per_reservation is None else per_reservation
     return {
         "monthly_revenue": monthly_revenue_text(t, totals=totals),
-        "revenue_by_hotel": revenue_by_hotel(t, totals=totals),
-        "top_customers": top_customers(t, n=top_n, totals=totals),
+        "revenue_by_hotel": revenue_by_hotel(t, totals=per_reservation),
+        "top_customers": top_customers(t, n=top_n, totals=per_reservation),
         "revenue_by_charge_type": revenue_by_charge_type(t, totals=totals),
         "room_type_perf": room_type_performance(t, charge_type_id=charge_type_id, totals=totals),
         "occupancy_by_hotel": occupancy_by_hotel(t, *window),
-        "value_vs_score": value_by_score(t, totals=totals),
+        "value_vs_score": value_by_score(t, totals=per_reservation),
         "staff_workload": staff_workload(t),
     }
 
@@ -71,14 +74,13 @@ def refresh_dashboard(
 ) -> dict[str, str]:
     """Write each dashboard result to ``out_dir/<key>`` as Parquet.
 
-    The shared pre-aggregate is written once to a folder of this refresh's own
+    The shared pre-aggregate, and from it the one by reservation, are written once to folders of this refresh's own
     under ``stage_dir`` (default: the session's shared staging folder) and read
     back, so two refreshes at once do not meet.  ``totals`` stands in for it where the caller
     has it already.  Returns the written paths by key.
     """
     stage = (stage_dir or f"{staging_dir(spark)}/dashboard_stage").rstrip("/")
     refresh = uuid.uuid4().hex
-    path = f"{stage}/charge_totals-{refresh}"
     # Bucketed by reservation: the per-reservation aggregations and joins of
     # five results then read it already partitioned instead of shuffling it.
     # The aggregated rows are repartitioned into the buckets first, so each
@@ -86,13 +88,18 @@ def refresh_dashboard(
     # catalogue entry only carries the bucketing to the readers and is
     # dropped afterwards, with the staged files.
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"innsight_stage_{refresh}"
-    made = charge_totals(t["charge"]) if totals is None else totals
-    (made.repartition(n, "reservationId")
-     .write.mode("overwrite").bucketBy(n, "reservationId").option("path", path).saveAsTable(table))
+    staged: dict[str, str] = {}  # table -> path
+
+    def bucketed(made: DataFrame, name: str) -> DataFrame:
+        table, path = f"innsight_stage_{name}_{refresh}", f"{stage}/{name}-{refresh}"
+        staged[table] = path
+        made.repartition(n, "reservationId").write.mode("overwrite").bucketBy(n, "reservationId").option("path", path).saveAsTable(table)
+        return spark.table(table)
+
     try:
-        totals = spark.table(table)
-        results = dashboard(t, totals=totals, **kwargs)
+        totals = bucketed(charge_totals(t["charge"]) if totals is None else totals, "charge_totals")
+        per_reservation = bucketed(revenue_per_reservation(t, totals=totals), "reservation_totals")
+        results = dashboard(t, totals=totals, per_reservation=per_reservation, **kwargs)
         paths = {key: f"{out_dir.rstrip('/')}/{key}" for key in results}
 
         def write(key: str) -> None:
@@ -108,7 +115,8 @@ def refresh_dashboard(
             for f in [pool.submit(write, key) for key in results]:
                 f.result()
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files are still there
-        staged = spark._jvm.org.apache.hadoop.fs.Path(path)  # this refresh's own
-        staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
+        for table, path in staged.items():
+            spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files are still there
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)  # this refresh's own
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return paths

@@ -32,7 +32,9 @@ RESULTS = "results"
 def kept_totals(spark: SparkSession, root: str, mart: str) -> Kept:
     """:func:`charge_totals` of all committed loads of ``root/charge``; reads the charges of new loads only."""
     kept = keep(spark, root, "charge", mart, "charge_totals", charge_totals)
-    return Kept(kept.rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS]), kept.new)
+    # a load's totals hold a group once: they move as they are, once for the sums and for the buckets that the refresh stages
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return Kept(kept.rows.repartition(n, "reservationId").groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS]), kept.new)
 
 
 def refresh(spark: SparkSession, root: str, mart: str, tables: dict[str, DataFrame] | None = None, **kwargs) -> list[str]:

@@ -42,6 +42,28 @@ def test_refresh_reads_new_loads_only_and_equals_a_full_one(spark, t):
     _same_as_full(spark, root, mart, t)
 
 
+def test_kept_totals_move_once(spark, t):
+    """The sums over loads are dealt by reservation, as the refresh stages them: one exchange, not one for each."""
+    import contextlib
+    import io
+
+    top = tempfile.mkdtemp(prefix="incremental-", dir="/tmp")
+    write(t["charge"], f"{top}/tables", "charge", load_id="all")
+    rows = incremental.kept_totals(spark, f"{top}/tables", f"{top}/mart").rows
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "reservationId").explain()
+    assert out.getvalue().count("Exchange") == 1
+
+
+def test_totals_by_reservation_stand_in_for_all(t):
+    totals = charge_totals(t["charge"])
+    by_reservation = totals.groupBy("reservationId").agg(F.sum("revenue").alias("revenue"), F.sum("n_charges").alias("n_charges"))
+    full = dashboard(t, totals=totals, window=WINDOW)
+    for key, rows in dashboard(t, totals=totals, per_reservation=by_reservation, window=WINDOW).items():
+        assert_same(spark_rows(rows), spark_rows(full[key]))
+
+
 def test_totals_follow_the_loads(spark, t):
     top = tempfile.mkdtemp(prefix="incremental-", dir="/tmp")
     root, mart = f"{top}/tables", f"{top}/mart"

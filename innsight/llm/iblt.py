@@ -18,8 +18,10 @@ recovered are the parts of only one version, and with them the likeness
 The fingerprints' own cells first tell how many digests differ: the squares of
 the subtracted counts add up to that number on average (less what the known difference
 of the two sizes adds).  A few are peeled from the fingerprints themselves; for more, both
-versions are sketched again with ``ROOM`` cells for each digest that seems to differ (only those in use
-are kept), and should cells be left over, with twice as many and another seed, until none is.
+versions are sketched again, first in one table of so many cells (only those in use are kept) that
+hardly two of the digests that differ meet: each cell left by the subtraction then gives up its digest.  Should any
+not, two tables with ``ROOM`` cells for each digest that seems to differ are peeled,
+and should cells be left over, with twice as many and another seed, until none is.
 
 All of it is Spark expressions over one row; cells are kept sparse and sorted.
 
@@ -43,6 +45,8 @@ CELLS = 48
 ROUNDS = 24
 #: Cells for each differing digest: nearly all digests then are single in some cell.
 ROOM = 128
+#: Cells of the one table for each pair of differing digests: some 1 % of such sketches hold two digests in a cell.
+PAIR = 64
 #: Sketches are made again with twice the cells so many times at most: beyond any text's digests.
 RETRIES = 30
 _BREAK = "\\n|(?<=[a-e][.!?])[ ]"  # a Java pattern
@@ -184,6 +188,19 @@ def peeled(cells: Column, size: Column, seed: Column) -> Column:
                        lambda s: F.struct(s.plus.alias("plus"), s.minus.alias("minus"), F.size(s.cells).alias("left")))
 
 
+def single(a: Column, b: Column, size: Column, seed: Column) -> Column:
+    """struct(plus, minus) of the digests of only one version from one table of ``size`` cells; NULL where a cell holds several."""
+    def entries(keys: Column, count: int) -> Column:
+        return F.transform(keys, lambda key: F.struct(F.pmod(F.xxhash64(key, seed), size).cast("int").alias("cell"), F.lit(count).alias("count"),
+                                                      key.alias("key"), _check(key).alias("check")))
+
+    def read(cells: Column) -> Column:
+        of = lambda n: F.transform(F.filter(cells, lambda c: c["count"] == n), lambda c: c.key)
+        return F.when(F.forall(cells, lambda c: (F.abs(c["count"]) == 1) & (c.check == _check(c.key))), F.struct(of(1).alias("plus"), of(-1).alias("minus")))
+
+    return _let(_added(F.concat(entries(a, 1), entries(b, -1))), read)
+
+
 def differing(cells: Column, more: Column) -> Column:
     """About how many digests differ, from subtracted cells of a fingerprint and the difference of the two numbers of digests."""
     squares = F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, c: s + c["count"].cast("bigint") * c["count"])
@@ -200,15 +217,18 @@ def difference(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column
         return F.when(p.left == 0, F.struct(p.plus.alias("plus"), p.minus.alias("minus")))
 
     def again(cells: Column) -> Column:
+        some = F.least(differing(cells, F.size(a) - F.size(b)), both).cast("double")
+        pairs = _let(F.least(some * some * (PAIR / 2) + CELLS, F.lit(float(1 << 30))).cast("int"), lambda size: single(a, b, size, F.lit(99)))
+
         def attempt(done: Column, k: Column) -> Column:
             def made(size: Column) -> Column:
                 # the two sketches, the second one's counts negative: added up, they are subtracted
                 return _let(_added(F.concat(_entries(a, 1, size, k + 100), _entries(b, -1, size, k + 100))), lambda c: _let(peeled(c, size, k + 100), whole))
 
-            size = (F.least(differing(cells, F.size(a) - F.size(b)), both) * float(ROOM) + CELLS) * F.pow(F.lit(2.0), k)
+            size = (some * float(ROOM) + CELLS) * F.pow(F.lit(2.0), k)
             return F.when(done.isNotNull(), done).otherwise(_let(F.least(size, F.lit(float(1 << 30))).cast("int"), made))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), F.lit(None).cast(found), attempt)
+        return F.coalesce(pairs, F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), F.lit(None).cast(found), attempt))
 
     def first(cells: Column) -> Column:
         few = _let(peeled(cells, F.lit(CELLS), F.lit(0)), whole)

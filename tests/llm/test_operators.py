@@ -349,6 +349,27 @@ def test_fingerprints(docs, texts):
     assert iblt.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_one_table_gives_up_each_digest_or_tells_that_some_met(spark, monkeypatch):
+    a, b = [k * 7919 for k in range(300)], [k * 7919 for k in range(80, 390)]
+    sets = spark.createDataFrame([(a, b), (a, a), ([], b), (a[:1], b[:1])], "a array<bigint>, b array<bigint>")
+    for x in "ab":
+        sets = sets.withColumn(f"{x}_cells", iblt.sketch(F.col(x), F.lit(iblt.CELLS), F.lit(0)))
+    wanted = [(sorted(set(x) - set(y)), sorted(set(y) - set(x))) for x, y, *_ in sets.collect()]
+
+    def taken(of):
+        return [r.d and (sorted(r.d.plus), sorted(r.d.minus)) for r in sets.select(of(F.col("a"), F.col("b")).alias("d")).collect()]
+
+    def found(a, b):
+        return iblt.difference(a, b, F.col("a_cells"), F.col("b_cells"))
+
+    assert taken(lambda a, b: iblt.single(a, b, F.lit(1 << 30), F.lit(99))) == wanted
+    # 170 digests cannot be alone in two cells; equal sets leave nothing behind
+    assert taken(lambda a, b: iblt.single(a, b, F.lit(2), F.lit(99)))[:2] == [None, ([], [])]
+    assert taken(found) == wanted
+    monkeypatch.setattr(iblt, "single", lambda a, b, size, seed: F.lit(None).cast("struct<plus:array<bigint>,minus:array<bigint>>"))
+    assert taken(found) == wanted
+
+
 def test_fingerprints_of_texts_without_marks(spark, tmp_path_factory):
     import xxhash
 
